@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenreel.llm import huffman, kneserney, mixing, packing, quality, topk
+from lumenreel.llm import huffman, kneserney, mixing, packing, partenum, quality, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_random_indexing_quality": quality.op3_random_indexing_quality,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_configuration_packing": packing.op6_configuration_packing,
     "op7_histogram_top_k": topk.op7_histogram_top_k,
     "op8_hypergeometric_mix": mixing.op8_hypergeometric_mix,
+    "op9_partenum_jaccard": partenum.op9_partenum_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_hypergeometric_mix": mixing.ORACLE}
