@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenreel.llm import huffman, kneserney, mixing, packing, partenum, quality, topk
+from lumenreel.llm import huffman, kneserney, mixing, packing, partenum, pigeonhole, pii, quality, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bootstrapped_pii": pii.op1_bootstrapped_pii,
+    "op2_subspace_pigeonhole": pigeonhole.op2_subspace_pigeonhole,
     "op3_random_indexing_quality": quality.op3_random_indexing_quality,
     "op4_kneser_ney": kneserney.op4_kneser_ney,
     "op5_huffman_token_files": huffman.op5_huffman_token_files,
@@ -18,4 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_partenum_jaccard": partenum.op9_partenum_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_hypergeometric_mix": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op2_subspace_pigeonhole": pigeonhole.ORACLE,
+    "op7_histogram_top_k": topk.ORACLE,
+    "op8_hypergeometric_mix": mixing.ORACLE,
+    "op9_partenum_jaccard": partenum.ORACLE,
+}

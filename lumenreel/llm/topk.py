@@ -148,3 +148,12 @@ def state_blocks(state: DataFrame, n_q: int) -> DataFrame:
 def op7_histogram_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = integers(table(spark, sf_dir, "embeddings"))
     return exact_top_k(spark, rows.filter(F.col("vec_id") % EVERY == 0), rows, Workspace(spark, "op7"))
+
+
+ORACLE = f"""
+WITH v AS (SELECT vec_id, [floor({SCALE} * x) for x in embedding::DOUBLE[]] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % {EVERY} = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {K}
+"""

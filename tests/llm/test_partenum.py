@@ -5,6 +5,7 @@ import re
 
 from lumenreel.llm import partenum
 from lumenreel.llm.common import Workspace
+from tests.llm import oracle
 
 
 def shingles(text):
@@ -43,6 +44,7 @@ def test_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in partenum.op9_partenum_jaccard(spark, sf).collect()), key=repr)
     assert got == brute(rows)
+    assert sorted(((d, n, c) for c, d, n in oracle.run(partenum.ORACLE, sf)), key=repr) == got
 
 
 def edited(rng, words, share):

@@ -6,6 +6,7 @@ import numpy as np
 
 from lumenreel.llm import topk
 from lumenreel.llm.common import Workspace
+from tests.llm import oracle
 
 
 def brute(rows, every, k):
@@ -26,6 +27,7 @@ def run(spark, rows, every=20, k=20):
 def test_table(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(map(tuple, topk.op7_histogram_top_k(spark, sf).collect())) == brute(rows, 20, 20)
+    assert oracle.rows_of(topk.op7_histogram_top_k(spark, sf)) == oracle.run(topk.ORACLE, sf)
 
 
 def test_blocks_ties_and_bad_vectors(spark, monkeypatch):
