@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenreel.llm import huffman, kneserney, mixing, packing, partenum, pigeonhole, pii, quality, topk
+from lumenreel.llm import huffman, kneserney, mixing, packing, partenum, pigeonhole, pii, quality, suffixes, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bootstrapped_pii": pii.op1_bootstrapped_pii,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_histogram_top_k": topk.op7_histogram_top_k,
     "op8_hypergeometric_mix": mixing.op8_hypergeometric_mix,
     "op9_partenum_jaccard": partenum.op9_partenum_jaccard,
+    "op10_suffix_array_dedup": suffixes.op10_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
