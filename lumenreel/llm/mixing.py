@@ -153,6 +153,27 @@ def taken_words(spark: SparkSession, docs: DataFrame, ws: Workspace) -> DataFram
     return out.select("doc_id", "source", "copy", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed_documents(spark: SparkSession, docs: DataFrame, ws: Workspace) -> DataFrame:
+    """``docs`` as the mix takes them: one row for each pass over a document, with its text (and ``n_chars``, if there is one).
+
+    A partial pass has the words of the blocks taken, in order, one space apart.
+    """
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long")
+    numbered = docs.withColumn("size__", words).withColumn("copy__", F.row_number().over(Window.partitionBy("doc_id", "source", "size__").orderBy("text")))
+    held = ws.save(numbered, "numbered")
+    rows = held.select("doc_id", "source", F.col("size__").alias("size"), F.col("copy__").alias("copy"))
+    per = ws.save(targets(rows), "sources")
+    blocks = mix_blocks(spark, rows, per, ws).groupBy("doc_id", "source", "copy", "epoch")
+    passes = blocks.agg(F.sum("n_words").alias("words"), F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("blocks"))
+    passes = ws.save(passes.withColumnsRenamed({"doc_id": "d", "source": "s", "copy": "c"}), "passes")
+    taken = held.filter("size__ > 0").join(passes, held.doc_id.eqNullSafe(passes.d) & held.source.eqNullSafe(passes.s) & (held.copy__ == passes.c))
+    part = F.expr(rf"array_join(transform(blocks, b -> array_join(slice(regexp_extract_all(text, r'{WORD_RE}', 0), cast(b.first_word + 1 as int), cast(b.n_words as int)), ' ')), ' ')")
+    out = taken.withColumn("text", F.when(F.col("words") == F.col("size__"), F.col("text")).otherwise(part))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
 def op8_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(spark, table(spark, sf_dir, "documents"), Workspace(spark, "op8")).select("doc_id", "size", "source_size", "target", "taken")
 

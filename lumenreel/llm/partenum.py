@@ -46,7 +46,8 @@ def shingle_sets(texts: list[str], n: int = N):
     for first, last, h, offsets in word_hashes(texts):
         if n > len(_ODD):
             raise ValueError(f"at most {len(_ODD)} words a shingle")
-        grams = sum((h[i : len(h) - n + 1 + i] * _ODD[i] for i in range(n)), np.zeros(max(0, len(h) - n + 1), np.uint64))
+        many = max(0, len(h) - n + 1)
+        grams = sum((h[i : i + many] * _ODD[i] for i in range(n)), np.zeros(many, np.uint64))
         grams = mix64(grams) & _LOW
         for a, b in pairwise(offsets.tolist()):
             if b - a >= n:
