@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 from zoneinfo import ZoneInfo
 
@@ -31,24 +32,38 @@ def parse_start(raw: Column, now: str) -> Column:
     without a year the current one counts, or the next if that is over two months
     ago. Times with an offset are taken as they are.
     """
-    text, local = collapse(raw), _local_now(now)
-    has_year, has_half, has_clock = F.rlike(text, F.lit(r"\b(18|19|20)\d{2}\b")), F.rlike(text, F.lit(r"(?i)\b(am|pm)\b")), F.rlike(text, F.lit(r"\d{1,2}:\d{2}"))
-    plain = F.regexp_replace(F.regexp_replace(text, _WEEKDAY, ""), r"(?<=\d),?\s+", " ")
-    plain = F.regexp_replace(plain, r"(?i)\s*\b(at)\b\s*", " ")
-    this = str(local.year)
-    # A missing year goes behind the date.
-    dated = F.when(has_year, plain).otherwise(F.regexp_replace(F.regexp_replace(plain, r"^([A-Za-z]+\.?\s+\d{1,2})(?=\s|$)", f"$1 {this}"), r"^(\d{1,2}/\d{1,2})(?=\s|$)", f"$1/{this}"))
-    moved = F.regexp_replace(dated, r"(?i)^([A-Za-z]+ \d{1,2}) (\d{1,2}:\d{2}\s*(?:am|pm)?) (\d{4})$", "$1 $3 $2")
-    timed, alone = _try(moved, [d + c for d in _DATES for c in _CLOCKS]), _try(moved, list(_DATES))
-    parsed = F.coalesce(timed, alone)
-    noon = F.when(~has_clock & (F.hour(parsed) == 0) & (F.minute(parsed) == 0), parsed + F.expr("INTERVAL '12' HOUR")).otherwise(parsed)
-    late = F.when(~has_half & has_clock & F.hour(noon).between(1, 10), noon + F.expr("INTERVAL '12' HOUR")).otherwise(noon)
-    old = F.lit(local.replace(tzinfo=None)).cast("timestamp_ntz") - F.expr("INTERVAL '2' MONTH")
-    nexted = F.when(~has_year & (late < old), late + F.expr("INTERVAL '12' MONTH")).otherwise(late)
-    iso = F.rlike(text, F.lit(r"^\d{4}-\d{2}-\d{2}T"))
-    zoned = F.rlike(text, F.lit(r"(?:Z|[+-]\d{2}:?\d{2})$"))
-    instant = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.try_to_timestamp(text).cast("timestamp_ntz"))
-    return F.when(iso & zoned, instant).when(iso, to_utc(F.try_to_timestamp(text).cast("timestamp_ntz"))).otherwise(to_utc(nexted))
+    local, hours = _local_now(now), lambda n: F.expr(f"INTERVAL '{n}' HOUR")
+    this, old = str(local.year), F.lit(local.replace(tzinfo=None)).cast("timestamp_ntz") - F.expr("INTERVAL '2' MONTH")
+
+    def date_first(text: Column) -> Column:
+        """Date, year (the current one where none is given) and clock, in this order."""
+        plain = F.regexp_replace(F.regexp_replace(text, _WEEKDAY, ""), r"(?<=\d),?\s+", " ")
+        dated = F.regexp_replace(F.regexp_replace(plain, r"^([A-Za-z]+\.?\s+\d{1,2})(?=\s|$)", f"$1 {this}"), r"^(\d{1,2}/\d{1,2})(?=\s|$)", f"$1/{this}")
+        return F.regexp_replace(F.when(_has_year(text), plain).otherwise(dated), r"(?i)^([A-Za-z]+ \d{1,2}) (\d{1,2}:\d{2}\s*(?:am|pm)?) (\d{4})$", "$1 $3 $2")
+
+    def written(text: Column) -> Column:
+        half, clock = F.rlike(text, F.lit(r"(?i)\b(am|pm)\b")), F.rlike(text, F.lit(r"\d{1,2}:\d{2}"))
+        parsed = _let(date_first(text), lambda t: _try(t, [*[d + c for d in _DATES for c in _CLOCKS], *_DATES]))
+        noon = _let(parsed, lambda t: F.when(~clock & (F.hour(t) == 0) & (F.minute(t) == 0), t + hours(12)).otherwise(t))
+        late = _let(noon, lambda t: F.when(~half & clock & F.hour(t).between(1, 10), t + hours(12)).otherwise(t))
+        return _let(late, lambda t: F.when(~_has_year(text) & (t < old), t + F.expr("INTERVAL '12' MONTH")).otherwise(t))
+
+    def either(text: Column) -> Column:
+        iso, zoned = F.rlike(text, F.lit(r"^\d{4}-\d{2}-\d{2}T")), F.rlike(text, F.lit(r"(?:Z|[+-]\d{2}:?\d{2})$"))
+        stamp = F.try_to_timestamp(text).cast("timestamp_ntz")
+        instant = F.convert_timezone(F.current_timezone(), F.lit("UTC"), stamp)
+        return F.when(iso & zoned, instant).otherwise(to_utc(F.when(iso, stamp).otherwise(written(text))))
+
+    return _let(collapse(raw), either)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _has_year(text: Column) -> Column:
+    return F.rlike(text, F.lit(r"\b(18|19|20)\d{2}\b"))
 
 
 def nearest_year(month: Column, day: Column, now: str) -> Column:
