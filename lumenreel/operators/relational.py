@@ -126,3 +126,12 @@ def fold_best(df: DataFrame, keys: Sequence[str], score: Column, position: str,
     best = [F.max_by(c, order).alias(c) for c in others]
     filled = [F.max_by(c, F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), order)).alias(c) for c in fill]
     return df.groupBy(*keys).agg(*best, *filled).select(*df.columns)
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str, after: int = 0) -> DataFrame:
+    """Rows numbered from ``after + 1`` in order: ranges are counted first, so no task holds all rows."""
+    ranges = checkpoint(df.repartitionByRange(*order).withColumn("range__", F.spark_partition_id()))
+    sizes = ranges.groupBy("range__").agg(F.count(F.lit(1)).alias("n__"))
+    before = sizes.select("range__", (F.sum("n__").over(Window.orderBy("range__")) - F.col("n__")).alias("before__"))
+    within = F.row_number().over(Window.partitionBy("range__").orderBy(*order))
+    return ranges.join(F.broadcast(before), "range__").withColumn(name, F.col("before__") + within + after).drop("range__", "before__")
