@@ -24,7 +24,7 @@ from lumenreel.llm.common import Workspace, table, text_or_empty, write_file
 
 MAGIC = b"LRHUF1\0\0"
 #: Ids in a block, ids after which a file is closed, longest code.
-BLOCK, FILE_IDS, MAX_BITS = 1024, 1 << 22, 16
+BLOCK, FILE_IDS, MAX_BITS = 1024, 1 << 21, 16
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -77,8 +77,17 @@ class Code:
         self.table_id = np.pad(self.table_id, (0, short))
         self.table_len = np.pad(self.table_len, (0, short), constant_values=1)
 
-    def encode(self, ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, np.ndarray]:
-        """Bits, and the bit offset of each block."""
+    def encode(self, ids: np.ndarray, block: int = BLOCK, blocks: int = 128) -> tuple[bytes, np.ndarray]:
+        """Bits, and the bit offset of each block; after every so many blocks bits go on at a whole byte."""
+        parts, offsets, size = [], [], 0
+        for at in range(0, len(ids), block * blocks):
+            bits, starts = self._encode(ids[at : at + block * blocks], block)
+            parts.append(bits)
+            offsets.append(starts + 8 * size)
+            size += len(bits)
+        return b"".join(parts), np.concatenate([*offsets, np.zeros(0, np.int64)])
+
+    def _encode(self, ids: np.ndarray, block: int) -> tuple[bytes, np.ndarray]:
         lens = self.len_of[ids]
         ends = np.cumsum(lens)
         at = ends - lens
@@ -142,8 +151,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, ws: Workspace, token
 
         pid, seq = TaskContext.get().partitionId(), 0
         for doc_ids, ids in bpe.encode_batches(batches, tokenizer, end_id):
-            small = [zlib.compress(np.frombuffer(x, np.uint8).reshape(-1, 4).T.tobytes(), 1) for x in ids]
-            yield bpe.as_batch(schema, [[pid] * len(ids), list(range(seq, seq + len(ids))), doc_ids, small])
+            yield bpe.as_batch(schema, [[pid] * len(ids), list(range(seq, seq + len(ids))), doc_ids, ids])
             seq += len(ids)
 
     ordered = text_or_empty(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -152,8 +160,8 @@ def write_token_files(spark: SparkSession, docs: DataFrame, ws: Workspace, token
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                c = np.bincount(ids_of(x))
+            for at in range(0, batch.num_rows, 256):
+                c = np.bincount(ids_of(b"".join(batch.column(0).slice(at, 256).to_pylist())))
                 total = np.pad(total, (0, max(0, len(c) - len(total))))
                 total[: len(c)] += c
         found = np.flatnonzero(total)
@@ -193,8 +201,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, ws: Workspace, token
 
 
 def ids_of(x: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+    return np.frombuffer(x, "<u4")
 
 
 def read_token_files(spark: SparkSession, files: DataFrame, code: Code, ws: Workspace) -> DataFrame:
