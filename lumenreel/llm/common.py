@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import zlib
@@ -63,6 +64,11 @@ class Workspace:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def tidy(self) -> None:
+        """Let go of finished shuffles: executors keep their files until the driver has collected its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def _quiet_drop(self) -> None:
         if self.root.startswith("file:"):
             import shutil

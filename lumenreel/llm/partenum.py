@@ -10,9 +10,10 @@ least one. Candidates are verified exactly.
 Equal sets fold into one node before anything else. Links are only needed up to
 connection, so the first pass verifies each node against one node that shares
 signatures with it, and the second compares, under every signature, only nodes
-that are not connected yet, after two filters that no true link can fail (sizes,
-and the bits in which two parity sketches differ). Pairs of one signature are
-looked at in blocks within a task and only survivors leave it.
+that are not connected yet. Before sets are compared, pairs pass filters that no true link can
+fail: sizes, and the bits in which two parity sketches differ. Signatures that
+several nodes share are kept as lists of nodes; pairs of one list are looked at in
+blocks within a task and only those that pass the filters leave it.
 
 Edge cases: null and empty texts have an empty set, no links and their own id;
 rows that share a doc_id or a set share a component; rows without an id are
@@ -36,7 +37,7 @@ from lumenreel.llm.runs import word_hashes
 
 N, NUM, DEN = 4, 85, 100
 #: Signatures held by a task before they are sent on; bits of a sketch.
-HELD, SKETCH = 1_500_000, 256
+HELD, SKETCH = 1_000_000, 256
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 _LOW = np.uint64((1 << 48) - 1)
 
@@ -104,12 +105,24 @@ class Bands:
         return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
+def sketch(s: np.ndarray, size: int = SKETCH) -> np.ndarray:
     """Parity bits: two sets differ in at least as many features as their sketches in bits."""
-    bits = np.bincount((mix64(s + np.uint64(77)) >> np.uint64(32)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    bits = np.bincount((mix64(s + np.uint64(77)) >> np.uint64(32)).astype(np.int64) % size, minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
+def long_sketch(s: np.ndarray, num: int, den: int) -> bytes:
+    """A sketch with eight or more bits for each feature in which a linked set may differ; a power of two."""
+    return sketch(s, max(SKETCH, 1 << (16 * len(s) * (den - num) // (den + num)).bit_length())).tobytes()
+
+
+def sketches_differ(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded to the shorter one's size."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def shrink(s: np.ndarray) -> bytes:
     return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
@@ -166,19 +179,39 @@ def _deal(lead: np.ndarray, member: np.ndarray, n: np.ndarray, shards: int):
         yield int(s), pack(member[rows].view(np.uint64), lead[rows], n[rows])
 
 
-def _cross(node: np.ndarray, size: np.ndarray, label: np.ndarray, bits: np.ndarray, num: int, den: int, step: int = 256):
-    """Pairs of one signature that are not connected and pass both filters."""
+def _carry(nodes: np.ndarray, roots: np.ndarray, sketches: list[bytes], rows: np.ndarray) -> tuple[bytes, bytes]:
+    """Some nodes with their roots and sketches as two byte strings."""
+    some = [sketches[r] for r in rows]
+    return pack(nodes[rows], roots[rows], np.array([len(x) for x in some], np.uint32)), b"".join(some)
+
+
+def _carried(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The same of all rows, in the order of nodes."""
+    parts, k = [unpack(m) for m in pdf.m], []
+    for (_, _, sizes), data in zip(parts, pdf.k, strict=True):
+        ends = np.cumsum(sizes, dtype=np.int64).tolist()
+        k += [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    nodes, roots = (np.concatenate([*[p[i] for p in parts], np.zeros(0, t)]) for i, t in ((0, np.uint64), (1, np.int64)))
+    order = np.argsort(nodes)
+    return nodes[order], roots[order], [k[i] for i in order]
+
+
+def _cross(node: np.ndarray, size: np.ndarray, label: np.ndarray, sketches: list[bytes], num: int, den: int, words: int = 1 << 21):
+    """Pairs of one list that are not connected and pass both filters."""
     values, inverse, n = np.unique(label, return_inverse=True, return_counts=True)
-    rest = np.flatnonzero(inverse != np.argmax(n)) if len(values) > 1 else np.zeros(0, np.int64)
+    rest = np.flatnonzero(inverse != np.argmax(n))
+    wide = [np.frombuffer(x, np.uint64) for x in sketches]
+    width = min(map(len, wide))
+    bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in wide])
+    step = max(1, words // (len(node) * width))
     for at in range(0, len(rest), step):
         rows = rest[at : at + step]
         a, b = size[rows, None], size[None, :]
-        ok = (label[rows, None] != label[None, :]) & (np.minimum(a, b) * den >= np.maximum(a, b) * num)
-        i, j = np.nonzero(ok)
+        i, j = np.nonzero((label[rows, None] != label[None, :]) & (np.minimum(a, b) * den >= np.maximum(a, b) * num))
         differ = np.bitwise_count(bits[rows[i]] ^ bits[j]).sum(axis=1, dtype=np.int64)
         near = differ * (den + num) <= (size[rows[i]] + size[j]) * (den - num)
         a, b = node[rows[i[near]]], node[j[near]]
-        yield np.minimum(a, b), np.maximum(a, b)
+        yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
 
 
 def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -186,9 +219,9 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
     shards, bands = n_shards(spark), Bands(num, den)
 
     def sign(batches):
-        """Rows of documents, then messages to shards (kind 0: signatures, 1: stars found within the task)."""
-        names = ["doc_id", "n_shingles", "node", "kind", "shard", "m", "nodes"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        """Rows of documents, and messages of signatures to shards."""
+        names = ["doc_id", "n_shingles", "node", "k", "shard", "m", "nodes"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
         held: list[tuple] = []
         seen: set[int] = set()
 
@@ -198,14 +231,9 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
             sig, of = np.concatenate([h[2] for h in held]), np.concatenate([h[3] + a for h, a in zip(held, at, strict=False)])
             held.clear()
             seen.clear()
-            order = np.lexsort((nodes[of], sig))
-            sig, of = sig[order], of[order]
-            first = np.r_[True, sig[1:] != sig[:-1]] if len(sig) else np.zeros(0, bool)
-            rows = [(1, s, m, b"") for s, m in _deal(*_stars(sig, nodes[of]), shards)]
-            rows += [(0, *x) for x in _messages(sig[first], of[first], nodes, sizes, shards=shards)]
+            rows = list(_messages(sig, of, nodes, sizes, shards=shards))
             for at in range(0, len(rows), 64):
-                some = rows[at : at + 64]
-                columns = [*[[None] * len(some)] * 3, *map(list, zip(*some, strict=True))]
+                columns = [*[[None] * len(rows[at : at + 64])] * 4, *map(list, zip(*rows[at : at + 64], strict=True))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
         for batch in batches:
@@ -213,7 +241,8 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
                 some = batch.slice(at, 512)
                 sets = list(shingle_sets(some.column(1).to_pylist(), n))
                 ids = [node_of(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([some.column(0).to_pylist(), [len(s) for s in sets], ids, *[[None] * len(sets)] * 4], kinds, strict=True)], names=names)
+                columns = [some.column(0).to_pylist(), [len(s) for s in sets], ids, [long_sketch(s, num, den) if len(s) else None for s in sets], *[[None] * len(sets)] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
                 new = {}
                 for i, s in zip(ids, sets, strict=True):
                     if i is not None and i not in seen:
@@ -226,9 +255,21 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
         if held:
             yield from send()
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig, node, _ = _gather(pdf)
-        return pd.DataFrame(list(_deal(*_stars(sig, node.view(np.int64)), shards)), columns=["shard", "m"])
+    def meet(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        """kind 1: stars dealt by member; kind 2: lists of two or more nodes, each list once, kept by shard."""
+        sig, node, size = _gather(pdf)
+        node = node.view(np.int64)
+        rows = [(1, s, m) for s, m in _deal(*_stars(sig, node), shards)]
+        start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        many, mark = np.diff(np.append(start, len(sig))), np.add.reduceat(mix64(node.view(np.uint64)), start)
+        start, many, mark = start[many > 1], many[many > 1], mark[many > 1]
+        _, once = np.unique(mark, return_index=True)
+        start, many = start[once], many[once]
+        if len(start):
+            lists = np.repeat(np.arange(len(start)), many)
+            at = np.arange(len(lists)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start, many)
+            rows.append((2, key[0], pack(lists, node[at], size[at])))
+        return pd.DataFrame(rows, columns=["kind", "shard", "m"])
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         """Of each member's leaders the one with which it shares most."""
@@ -250,6 +291,12 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
                 keep = [i for i, (s, want) in enumerate(zip(sets, some.column(0).to_pylist(), strict=True)) if len(s) and node_of(s) == want]
                 yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(keep, pa.int64())), pa.array([shrink(sets[i]) for i in keep], pa.binary())], names=["node", "s"])
 
+    def may_link(batches):
+        for batch in batches:
+            na, nb, ka, kb = (c.to_pylist() for c in batch.columns[2:])
+            keep = pa.array([i for i, (x, y, p, q) in enumerate(zip(na, nb, ka, kb, strict=True)) if sketches_differ(p, q) * (den + num) <= (x + y) * (den - num)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+
     def verify(batches):
         for batch in batches:
             a, b, sa, sb = (c.to_pylist() for c in batch.columns)
@@ -260,52 +307,89 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
 
-    def sign_labelled(batches):
-        names = ["shard", "m", "nodes"]
+    def ask(batches):
+        """Nodes of the lists, dealt by node."""
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                some = batch.slice(at, 2000)
-                sets = [expand(x) for x in some.column(2).to_pylist()]
-                bits = np.stack([sketch(s) for s in sets])
-                rows = list(_messages(*bands.signatures(sets), some.column(0).to_numpy(), np.array([len(s) for s in sets]), some.column(1).to_numpy(), *bits.T, shards=shards))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=names)
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig, node, size, label, *bits = _gather(pdf)
-        node, bits, out, seen = node.view(np.int64), np.stack(bits, axis=1), [], set()
-        start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        mixed = np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start)
-        ends, key = np.append(start[1:], len(sig)), np.add.reduceat(mix64(node.view(np.uint64)), start)
-        for i in np.flatnonzero(mixed):
-            if (k := int(key[i])) not in seen:  # the same nodes again
-                seen.add(k)
+            for shard, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                nodes = np.unique(unpack(m)[1]).view(np.uint64)
+                to = shard_of(mix64(nodes), shards)
+                rows = [(int(t), shard, pack(nodes[to == t])) for t in np.unique(to)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "shard", "m"])
+
+    def bucket(batches):
+        """Nodes with their roots and sketches, dealt by node."""
+        for batch in batches:
+            nodes, roots, k = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            to = shard_of(mix64(nodes), shards)
+            rows = [(int(t), *_carry(nodes, roots, k, np.flatnonzero(to == t))) for t in np.unique(to)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "m", "k"])
+
+    def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        nodes, roots, k = _carried(held)
+        out = []
+        for shard, m in zip(asked.shard, asked.m, strict=True):
+            want = unpack(m)[0]
+            out.append((shard, *_carry(nodes, roots, k, np.searchsorted(nodes, want))))
+        return pd.DataFrame(out, columns=["shard", "m", "k"])
+
+    def compare(lists: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        nodes, roots, k = _carried(told)
+        out = []
+        for m in lists.m:
+            of, node, size = unpack(m)
+            at = np.searchsorted(nodes, node.view(np.uint64))
+            label = roots[at]
+            start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            mixed = np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start)
+            ends = np.append(start[1:], len(of))
+            for i in np.flatnonzero(mixed):
                 rows = slice(start[i], ends[i])
-                out += _cross(node[rows], size[rows], label[rows], bits[rows], num, den)
-        pairs = np.concatenate([np.stack(x, axis=1) for x in out]) if out else np.zeros((0, 2), np.int64)
-        pairs = np.unique(pairs, axis=0)
+                out += _cross(node[rows], size[rows], label[rows], [k[x] for x in at[rows]], num, den)
+        pairs = np.unique(np.concatenate([*out, np.zeros((0, 2), np.int64)]), axis=0)
+        shard = shard_of(mix64(pairs[:, 0].view(np.uint64)), shards)
+        return pd.DataFrame([(int(x), pack(pairs[shard == x, 0].view(np.uint64), pairs[shard == x, 1])) for x in np.unique(shard)], columns=["shard", "m"])
+
+    def once(pdf: pd.DataFrame) -> pd.DataFrame:
+        pairs = np.unique(np.concatenate([np.stack([a.view(np.int64), b], axis=1) for a, b in map(unpack, pdf.m)]), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     texts = text_or_empty(docs)
-    first = ws.save(texts.mapInArrow(sign, "doc_id long, n_shingles long, node long, kind int, shard int, m binary, nodes binary"), "signed")
-    rows = first.filter("kind is null").select("doc_id", "n_shingles", "node")
-    stars = first.filter("kind = 0").select("shard", "m", "nodes").groupBy("shard").applyInPandas(meet, "shard int, m binary")
-    stars = stars.union(first.filter("kind = 1").select("shard", "m"))
-    pairs = ws.save(stars.groupBy("shard").applyInPandas(choose, "a long, b long"), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"))
-    wanted = ids.join(nodes, "node")
-    sets = ws.save(texts.join(wanted, texts.doc_id.eqNullSafe(wanted.id)).select("node", "text").mapInArrow(load, "node long, s binary"), "sets")
-
-    def links(pairs: DataFrame) -> DataFrame:
+    first = ws.save(texts.mapInArrow(sign, "doc_id long, n_shingles long, node long, k binary, shard int, m binary, nodes binary"), "signed")
+    signed = first.filter("shard is null")
+    rows = ws.save(signed.select("doc_id", "n_shingles", "node"), "rows")
+    sketches = ws.save(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("k").alias("k")), "sketches")
+    ids = sketches.select("node", "id")
+    met = ws.save(first.filter("shard is not null").select("shard", "m", "nodes").groupBy("shard").applyInPandas(meet, "kind int, shard int, m binary"), "met")
+    ws.drop("signed")
+    ws.tidy()
+    pairs = ws.save(met.filter("kind = 1").groupBy("shard").applyInPandas(choose, "a long, b long"), "pairs")
+
+    def links(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs that are linked: filtered by sketches, then verified with the sets of the nodes that are left."""
+        a, b = (sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("k").alias(f"k{x}")) for x in "ab")
+        near = ws.save(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(may_link, "a long, b long"), f"{name}-near")
+        nodes = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
+        wanted = ids.join(nodes, "node")
+        sets = ws.save(texts.join(wanted, texts.doc_id.eqNullSafe(wanted.id)).select("node", "text").mapInArrow(load, "node long, s binary"), f"{name}-sets")
+        ws.tidy()
         a, b = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+        found = ws.save(near.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long"), name)
+        ws.drop(f"{name}-sets")
+        ws.tidy()
+        return found
 
-    found = ws.save(links(pairs), "links")
+    found = links(pairs, "links")
     roots = components(found, ws, "c1")
-    labelled = sets.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "s")
-    more = labelled.mapInArrow(sign_labelled, "shard int, m binary, nodes binary").groupBy("shard").applyInPandas(compare, "a long, b long").distinct()
+    lists = met.filter("kind = 2").select("shard", "m")
+    rooted = sketches.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "k")
+    asked, held = lists.mapInArrow(ask, "bucket int, shard int, m binary"), rooted.mapInArrow(bucket, "bucket int, m binary, k binary")
+    told = asked.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(answer, "shard int, m binary, k binary")
+    more = lists.groupBy("shard").cogroup(told.groupBy("shard")).applyInPandas(compare, "shard int, m binary")
+    more = more.groupBy("shard").applyInPandas(once, "a long, b long")
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = ws.save(links(more.join(done, ["a", "b"], "left_anti")), "more")
+    more = links(more.join(done, ["a", "b"], "left_anti"), "more")
+    ws.drop("met")
     # Rows that share an id are one document, whatever their sets.
     same = rows.filter("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b")
     shared = rows.join(same.select("doc_id", "a"), "doc_id").filter("node is not null").select("a", F.col("node").alias("b"))

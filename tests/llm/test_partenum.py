@@ -88,3 +88,14 @@ def test_no_pair_is_lost_by_signatures():
         sig, of = bands.signatures([a, b])
         assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())
         assert np.bitwise_count(partenum.sketch(a) ^ partenum.sketch(b)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_long_sketches_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (3, 100, 900, 5000):
+        base = rng.integers(0, 1 << 48, 2 * n, dtype=np.uint64)
+        a, b = base[:n], base[n // 10 : n + n // 3]
+        bits = partenum.sketches_differ(partenum.long_sketch(a, 85, 100), partenum.long_sketch(b, 85, 100))
+        assert n // 20 <= bits <= len(np.setxor1d(a, b))
