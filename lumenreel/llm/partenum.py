@@ -10,7 +10,8 @@ least one. Candidates are verified exactly.
 Equal sets fold into one node before anything else. Links are only needed up to
 connection, so the first pass verifies each node against one node that shares
 signatures with it, and the second compares, under every signature, only nodes
-that are not connected yet. Before sets are compared, pairs pass filters that no true link can
+that are not connected yet: first with the node of each list that shares most with others (often
+the text that the others are copies of), then all with all. Before sets are compared, pairs pass filters that no true link can
 fail: sizes, and the bits in which two parity sketches differ. Signatures that
 several nodes share are kept as lists of nodes; pairs of one list are looked at in
 blocks within a task and only those that pass the filters leave it.
@@ -179,27 +180,27 @@ def _deal(lead: np.ndarray, member: np.ndarray, n: np.ndarray, shards: int):
         yield int(s), pack(member[rows].view(np.uint64), lead[rows], n[rows])
 
 
-def _carry(nodes: np.ndarray, roots: np.ndarray, sketches: list[bytes], rows: np.ndarray) -> tuple[bytes, bytes]:
-    """Some nodes with their roots and sketches as two byte strings."""
+def _carry(nodes: np.ndarray, roots: np.ndarray, weights: np.ndarray, sketches: list[bytes], rows: np.ndarray) -> tuple[bytes, bytes]:
+    """Some nodes with their roots, weights and sketches as two byte strings."""
     some = [sketches[r] for r in rows]
-    return pack(nodes[rows], roots[rows], np.array([len(x) for x in some], np.uint32)), b"".join(some)
+    return pack(nodes[rows], roots[rows], weights[rows], np.array([len(x) for x in some], np.uint32)), b"".join(some)
 
 
-def _carried(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def _carried(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """The same of all rows, in the order of nodes."""
     parts, k = [unpack(m) for m in pdf.m], []
-    for (_, _, sizes), data in zip(parts, pdf.k, strict=True):
+    for (*_, sizes), data in zip(parts, pdf.k, strict=True):
         ends = np.cumsum(sizes, dtype=np.int64).tolist()
         k += [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-    nodes, roots = (np.concatenate([*[p[i] for p in parts], np.zeros(0, t)]) for i, t in ((0, np.uint64), (1, np.int64)))
+    nodes, roots, weights = (np.concatenate([*[p[i] for p in parts], np.zeros(0, t)]) for i, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
     order = np.argsort(nodes)
-    return nodes[order], roots[order], [k[i] for i in order]
+    return nodes[order], roots[order], weights[order], [k[i] for i in order]
 
 
-def _cross(node: np.ndarray, size: np.ndarray, label: np.ndarray, sketches: list[bytes], num: int, den: int, words: int = 1 << 21):
-    """Pairs of one list that are not connected and pass both filters."""
+def _cross(node: np.ndarray, size: np.ndarray, label: np.ndarray, sketches: list[bytes], hub: int | None, num: int, den: int, words: int = 1 << 21):
+    """Pairs of one list (with its hub, or all) that are not connected and pass both filters."""
     values, inverse, n = np.unique(label, return_inverse=True, return_counts=True)
-    rest = np.flatnonzero(inverse != np.argmax(n))
+    rest = np.flatnonzero(inverse != np.argmax(n)) if hub is None else np.array([hub])
     wide = [np.frombuffer(x, np.uint64) for x in sketches]
     width = min(map(len, wide))
     bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in wide])
@@ -256,7 +257,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
             yield from send()
 
     def meet(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        """kind 1: stars dealt by member; kind 2: lists of two or more nodes, each list once, kept by shard."""
+        """kind 1: stars dealt by member; kind 2: lists of two or more nodes, each list once, kept by shard; kind 3: the sizes of a node's lists, dealt by node."""
         sig, node, size = _gather(pdf)
         node = node.view(np.int64)
         rows = [(1, s, m) for s, m in _deal(*_stars(sig, node), shards)]
@@ -269,6 +270,9 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
             lists = np.repeat(np.arange(len(start)), many)
             at = np.arange(len(lists)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start, many)
             rows.append((2, key[0], pack(lists, node[at], size[at])))
+            nodes, inverse = np.unique(node[at].view(np.uint64), return_inverse=True)
+            weight, to = np.bincount(inverse, weights=many[lists]).astype(np.int64), shard_of(mix64(nodes), shards)
+            rows += [(3, int(t), pack(nodes[to == t], weight[to == t])) for t in np.unique(to)]
         return pd.DataFrame(rows, columns=["kind", "shard", "m"])
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -317,24 +321,36 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "shard", "m"])
 
     def bucket(batches):
-        """Nodes with their roots and sketches, dealt by node."""
+        """Nodes with their roots, weights and sketches, dealt by node."""
         for batch in batches:
-            nodes, roots, k = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            (nodes, roots, weights), k = (batch.column(i).to_numpy() for i in range(3)), batch.column(3).to_pylist()
+            nodes = nodes.view(np.uint64)
             to = shard_of(mix64(nodes), shards)
-            rows = [(int(t), *_carry(nodes, roots, k, np.flatnonzero(to == t))) for t in np.unique(to)]
+            rows = [(int(t), *_carry(nodes, roots, weights, k, np.flatnonzero(to == t))) for t in np.unique(to)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "m", "k"])
 
     def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        nodes, roots, k = _carried(held)
+        nodes, roots, weights, k = _carried(held)
         out = []
         for shard, m in zip(asked.shard, asked.m, strict=True):
             want = unpack(m)[0]
-            out.append((shard, *_carry(nodes, roots, k, np.searchsorted(nodes, want))))
+            out.append((shard, *_carry(nodes, roots, weights, k, np.searchsorted(nodes, want))))
         return pd.DataFrame(out, columns=["shard", "m", "k"])
 
-    def compare(lists: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        nodes, roots, k = _carried(told)
+    def with_hubs(lists: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        return compare(lists, told, True)
+
+    def with_all(lists: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        return compare(lists, told, False)
+
+    def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, weights = (np.concatenate(c) for c in zip(*map(unpack, pdf.m), strict=True))
+        found, inverse = np.unique(nodes, return_inverse=True)
+        return pd.DataFrame({"node": found.view(np.int64), "w": np.bincount(inverse, weights=weights).astype(np.int64)})
+
+    def compare(lists: pd.DataFrame, told: pd.DataFrame, hubs: bool) -> pd.DataFrame:
+        nodes, roots, weights, k = _carried(told)
         out = []
         for m in lists.m:
             of, node, size = unpack(m)
@@ -345,7 +361,8 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
             ends = np.append(start[1:], len(of))
             for i in np.flatnonzero(mixed):
                 rows = slice(start[i], ends[i])
-                out += _cross(node[rows], size[rows], label[rows], [k[x] for x in at[rows]], num, den)
+                hub = int(np.argmax(weights[at[rows]])) if hubs else None
+                out += _cross(node[rows], size[rows], label[rows], [k[x] for x in at[rows]], hub, num, den)
         pairs = np.unique(np.concatenate([*out, np.zeros((0, 2), np.int64)]), axis=0)
         shard = shard_of(mix64(pairs[:, 0].view(np.uint64)), shards)
         return pd.DataFrame([(int(x), pack(pairs[shard == x, 0].view(np.uint64), pairs[shard == x, 1])) for x in np.unique(shard)], columns=["shard", "m"])
@@ -380,20 +397,27 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
         return found
 
     found = links(pairs, "links")
-    roots = components(found, ws, "c1")
     lists = met.filter("kind = 2").select("shard", "m")
-    rooted = sketches.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "k")
-    asked, held = lists.mapInArrow(ask, "bucket int, shard int, m binary"), rooted.mapInArrow(bucket, "bucket int, m binary, k binary")
-    told = asked.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(answer, "shard int, m binary, k binary")
-    more = lists.groupBy("shard").cogroup(told.groupBy("shard")).applyInPandas(compare, "shard int, m binary")
-    more = more.groupBy("shard").applyInPandas(once, "a long, b long")
+    weights = ws.save(met.filter("kind = 3").groupBy("shard").applyInPandas(weigh, "node long, w long"), "weights")
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = links(more.join(done, ["a", "b"], "left_anti"), "more")
+
+    def open_pairs(by, name: str) -> DataFrame:
+        """Pairs of one list that are not connected and were not verified."""
+        rooted = sketches.join(components(found, ws, f"{name}-cc"), "node", "left").join(weights, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("w", F.lit(0)).alias("w"), "k")
+        asked, held = lists.mapInArrow(ask, "bucket int, shard int, m binary"), rooted.mapInArrow(bucket, "bucket int, m binary, k binary")
+        told = asked.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(answer, "shard int, m binary, k binary")
+        seen = lists.groupBy("shard").cogroup(told.groupBy("shard")).applyInPandas(by, "shard int, m binary")
+        return ws.save(seen.groupBy("shard").applyInPandas(once, "a long, b long").join(done, ["a", "b"], "left_anti"), f"{name}-open")
+
+    for by, name in ((with_hubs, "hubs"), (with_all, "rest")):
+        pairs = open_pairs(by, name)
+        found = ws.save(found.union(links(pairs, name)), f"{name}-found")
+        done = done.union(pairs)
     ws.drop("met")
     # Rows that share an id are one document, whatever their sets.
     same = rows.filter("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b")
     shared = rows.join(same.select("doc_id", "a"), "doc_id").filter("node is not null").select("a", F.col("node").alias("b"))
-    roots = components(found.union(more).union(shared), ws, "c2")
+    roots = components(found.union(shared), ws, "cc")
     least = ids.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     smallest = least.groupBy("root").agg(F.min("id").alias("component_id"))
     by_node = ws.save(least.join(smallest, "root").select("node", "component_id"), "components")
