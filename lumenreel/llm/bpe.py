@@ -31,7 +31,7 @@ def default_tokenizer() -> str:
 
 class Encoder:
     #: Entries of each of two cache generations; the older one is let go when the newer one is full.
-    CACHE = 400_000
+    CACHE = 600_000
 
     def __init__(self, path: str):
         import os
@@ -108,6 +108,12 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()
+
+
 def encode_batches(batches, tokenizer: str, end_id: int):
     """(doc_ids, ids per document with the end id) of each Arrow batch."""
     encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()

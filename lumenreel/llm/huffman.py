@@ -144,14 +144,19 @@ def write_token_files(spark: SparkSession, docs: DataFrame, ws: Workspace, token
     ids are kept once as a table, counted, then encoded where they lie.
     """
     tokenizer = tokenizer or bpe.default_tokenizer()
+    narrow = max(bpe.vocabulary_size(tokenizer), end_id + 1) <= 1 << 16
     schema = pa.schema([("pid", pa.int32()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
+    def ids_of(x: bytes) -> np.ndarray:
+        return np.frombuffer(x, "<u2" if narrow else "<u4")
+
     def tokenize(batches):
         from pyspark import TaskContext
 
         pid, seq = TaskContext.get().partitionId(), 0
         for doc_ids, ids in bpe.encode_batches(batches, tokenizer, end_id):
-            yield bpe.as_batch(schema, [[pid] * len(ids), list(range(seq, seq + len(ids))), doc_ids, ids])
+            small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids] if narrow else ids
+            yield bpe.as_batch(schema, [[pid] * len(ids), list(range(seq, seq + len(ids))), doc_ids, small])
             seq += len(ids)
 
     ordered = text_or_empty(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -200,10 +205,6 @@ def write_token_files(spark: SparkSession, docs: DataFrame, ws: Workspace, token
     return files, code
 
 
-def ids_of(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, "<u4")
-
-
 def read_token_files(spark: SparkSession, files: DataFrame, code: Code, ws: Workspace) -> DataFrame:
     """One row per document, decoded from the files: doc_id, start, n_tokens, ids_crc32."""
     # Where each file starts: sums by pid first, so the only ordered sum over all is over range partitions.
