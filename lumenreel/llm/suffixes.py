@@ -7,8 +7,8 @@ windows have equal anchors, and an anchor that occurs once in the corpus has
 nothing to compare. Consecutive windows with one anchor form a run. Runs whose
 anchor repeats are dealt by anchor, with their bytes, to shards. A shard folds
 equal runs, builds suffix arrays over parts of what is left (Larsson-Sadakane
-refinement), takes common prefixes (Kasai), and merges parts by binary search
-in their sorted windows. All but the earliest of equal windows are marked.
+refinement), takes common prefixes (Kasai), and, where the runs of one
+anchor fill several parts, merges these by binary search in their sorted windows. All but the earliest of equal windows are marked.
 
 Before each shuffle a task folds what repeats within it, so a passage that a
 third of all documents share reaches a shard at most once from each task.
@@ -38,8 +38,9 @@ from lumenreel.llm.common import Workspace, local_path, mix64, n_shards, pack, s
 from lumenreel.llm.runs import _BYTE, _powers, chunks
 
 LENGTH, GRAM = 100, 32
-#: Distinct anchors, and bytes of runs, that a task holds before it sends them; bytes of one suffix array.
-HELD, HELD_BYTES, PART = 3_000_000, 24_000_000, 1 << 21
+#: Distinct anchors, and bytes of runs, that a task holds before it sends them; bytes of one suffix array,
+#: shards of runs for each shuffle partition.
+HELD, HELD_BYTES, PART, DEALS = 2_000_000, 16_000_000, 1 << 19, 6
 _SEGMENT = np.uint64((1 << 24) - 1)
 
 
@@ -223,6 +224,7 @@ def stored(docs: DataFrame, ws: Workspace) -> DataFrame:
 def mark(spark: SparkSession, rows: DataFrame, ws: Workspace, length: int = LENGTH, gram: int = GRAM) -> str:
     """Files of marked windows, one for each stored partition: uid, first and last start of runs of marked windows, in order."""
     shards, folder = n_shards(spark), ws.mkdir("marks")
+    deals = DEALS * shards  # runs carry bytes, so their shards are smaller
     texts = rows.select("uid", "doc", "tie", "text")
 
     def send_anchors(batches):
@@ -290,7 +292,7 @@ def mark(spark: SparkSession, rows: DataFrame, ws: Workspace, length: int = LENG
             if held:
                 columns, content = [np.concatenate(c) for c in zip(*[x[0] for x in held], strict=True)], np.concatenate([x[1] for x in held])
                 columns, content = fold(columns, content)
-                cuts = np.searchsorted(shard_of(columns[0], shards), np.arange(shards + 1))
+                cuts = np.searchsorted(shard_of(columns[0], deals), np.arange(deals + 1))
                 for s, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                     if lo < hi:
                         yield _batch([(0, s, pack(*[c[lo:hi] for c in columns]), zlib.compress(b"".join(content[lo:hi]), 1))], names, kinds)
@@ -343,14 +345,14 @@ def mark(spark: SparkSession, rows: DataFrame, ws: Workspace, length: int = LENG
         twice = np.zeros(len(h), bool)  # anchors that still have several runs
         twice[1:] |= h[1:] == h[:-1]
         twice[:-1] |= h[1:] == h[:-1]
-        doc, tie, uid, first, span, content = (x[twice] for x in (doc, tie, uid, first, span, content))
+        h, doc, tie, uid, first, span, content = (x[twice] for x in (h, doc, tie, uid, first, span, content))
         if len(doc):
             # Windows are numbered in the order of documents and places.
             order = np.lexsort((first, uid, tie, doc))
-            doc, uid, first, span, content = (x[order] for x in (doc, uid, first, span, content))
-            base = np.cumsum(span + 1) - (span + 1)
-            lost = np.sort(later_windows(list(content), [np.arange(a, a + s + 1) for a, s in zip(base.tolist(), span.tolist(), strict=True)], length))
-            of = np.searchsorted(base, lost, "right") - 1
+            base = np.empty(len(order), np.int64)
+            base[order] = np.cumsum(span[order] + 1) - (span[order] + 1)
+            lost = np.sort(np.concatenate([later_windows(content[lo:hi].tolist(), [np.arange(x, x + n + 1) for x, n in zip(base[lo:hi].tolist(), span[lo:hi].tolist(), strict=True)], length) for lo, hi in _batches(h, span + length)]))
+            of = order[np.searchsorted(base[order], lost, "right") - 1]
             start = first[of] + lost - base[of]
             new = np.flatnonzero(np.r_[True, (np.diff(lost) != 1) | (np.diff(of) != 0)]) if len(lost) else np.zeros(0, np.int64)
             marks.append(np.stack([uid[of[new]], start[new], start[np.append(new[1:], len(lost)) - 1]], axis=1) if len(lost) else np.zeros((0, 3), np.int64))
@@ -372,6 +374,17 @@ def mark(spark: SparkSession, rows: DataFrame, ws: Workspace, length: int = LENG
     return folder
 
 
+def _batches(h: np.ndarray, sizes: np.ndarray, part: int = PART):
+    """Stretches of whole anchors, about ``part`` bytes each: only equal anchors have windows to compare."""
+    starts = np.append(np.flatnonzero(np.r_[True, h[1:] != h[:-1]]), len(h))
+    ends, lo = np.append(0, np.cumsum(sizes)), 0
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        if a > lo and ends[b] - ends[lo] > part:
+            yield lo, a
+            lo = a
+    yield lo, len(h)
+
+
 def content_number(content: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Numbers that tell apart unequal contents of one hash (all but always 0)."""
     seen: dict[int, dict[bytes, int]] = {}
