@@ -116,11 +116,11 @@ def close_posts(spark, sf_dir):
 
 @query("market_match", f"WITH p AS (SELECT * FROM {POSTS}) SELECT a.post_id AS trigger_id, b.post_id AS recipient_id, a.showtime_id FROM p a JOIN p b ON a.showtime_id = b.showtime_id AND a.user_id <> b.user_id AND a.type <> b.type WHERE a.status = 'ACTIVE' AND b.status = 'ACTIVE' AND a.user_id < 20 AND NOT (a.post_id < 2000 AND b.post_id < 2000)")
 def market_match(spark, sf_dir):
-    """Posts of the first users against all posts of the other side; pairs of early posts were notified."""
+    """All active posts against all posts of the other side; pairs of early posts were notified."""
     rows = posts(spark, sf_dir)
     early = rows.filter("post_id < 2000")
-    notified = J.matches(early, early.filter("user_id < 20"), spark.createDataFrame([], "trigger_id long, recipient_id long"))
-    return J.matches(rows, rows.filter("user_id < 20"), notified)
+    notified = J.matches(early, early, spark.createDataFrame([], "trigger_id long, recipient_id long"))
+    return J.matches(rows, rows, notified)
 
 
 _WANTS = "(SELECT DISTINCT o_custkey AS user_id, l_partkey AS movie_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
