@@ -164,7 +164,7 @@ def reminder_summary(spark, sf_dir):
 def director_transition(spark, sf_dir):
     """Users follow the people of movies they want; those movies were delivered, the others of the same people are due."""
     credits = movies(spark, sf_dir).select(F.col("person").alias("person_id"), "movie_id")
-    wanted = wants(spark, sf_dir).filter("user_id <= 40").join(credits, "movie_id")
+    wanted = wants(spark, sf_dir).join(credits, "movie_id")
     follows = wanted.select("user_id", "person_id").distinct()
     return J.director_transition(follows, credits, on_screen(spark, sf_dir), wanted, _users(spark, sf_dir)).select("user_id", "person_id", "movie_id", "email")
 
