@@ -64,7 +64,7 @@ def date_grouped(spark, sf_dir):
 def detail_by_day(spark, sf_dir):
     """Upcoming showtimes of each movie by local day."""
     day = F.date_format(P.to_local(F.col("start")), "yyyy-MM-dd")
-    return on_screen(spark, sf_dir).filter(F.col("start") < P.moment("1999-01-01")).groupBy("movie_id", day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return on_screen(spark, sf_dir).groupBy("movie_id", day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _top(k):
