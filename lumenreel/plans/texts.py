@@ -8,7 +8,7 @@ from lumenreel.functions import numbers as N
 from lumenreel.functions import text as T
 from lumenreel.functions import times as D
 from lumenreel.functions.titles import with_parsed
-from lumenreel.plans.base import query, table
+from lumenreel.plans.base import movies, query, table
 
 _SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\x{0085}\x0B]+"
 _CLEAN = f"trim(regexp_replace(text, '{_SPACE}', ' ', 'g'), ' ')"
@@ -70,9 +70,11 @@ def meta_line(spark, sf_dir):
 
 @query("title_grammar")
 def title_grammar(spark, sf_dir):
-    """The grammar over the first lines of documents and over titles with events added."""
-    heads = _documents(spark, sf_dir).select("doc_id", F.substring_index("text", "\n", 1).alias("head"))
-    return with_parsed(heads, "head").select("doc_id", "parsed.title", "parsed.year", "parsed.format", "parsed.note", F.size("parsed.candidates").alias("n_candidates"))
+    """The grammar over every line of each document and over movie titles with the types of events added as notes."""
+    lines = _documents(spark, sf_dir).select("doc_id", F.lit(None).cast("long").alias("movie_id"), F.posexplode_outer(F.split("text", "\n")).alias("line", "raw"))
+    kinds = table(spark, sf_dir, "events").select("event_type").distinct()
+    titled = movies(spark, sf_dir).crossJoin(F.broadcast(kinds)).select(F.lit(None).cast("long").alias("doc_id"), "movie_id", F.lit(None).cast("int").alias("line"), F.concat("title", F.lit(" - Q&A after "), "event_type").alias("raw"))
+    return with_parsed(lines.unionByName(titled), "raw").select("doc_id", "movie_id", "line", "parsed.title", "parsed.year", "parsed.format", "parsed.note", F.size("parsed.candidates").alias("n_candidates"))
 
 
 @query("json_explode", "SELECT event_id, key, value FROM (SELECT event_id, unnest(json_keys(props)) AS key, json_extract_string(props, '$.k') AS value FROM events)")
