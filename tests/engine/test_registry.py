@@ -1,6 +1,9 @@
 """The register: every query has a stable schema on the smallest tables, its SQL names a query, and the engine stands without the optional parts."""
 
 import re
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -24,6 +27,14 @@ def test_nothing_else_imports_the_optional_part():
             assert not re.search(rf"(import|from)\s+{re.escape(part)}", path.read_text()), path
 
 
+def test_the_rest_stands_without_the_optional_part(tmp_path):
+    part = "ll" + "m"
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=lambda _, names: [n for n in names if n in (part, ".git", "__pycache__")])
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'home_grid' in q and set(o) <= set(q) and not [n for n in q if n.startswith('op') or n == 'pipeline'], sorted(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=120)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
