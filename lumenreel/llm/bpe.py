@@ -1,14 +1,20 @@
-"""Token ids of texts by a public byte-level BPE file, with a word cache.
+"""Token ids of texts by a public byte-level BPE file, with a cache of stretches.
 
 Byte-level BPE never merges across the boundary before a single space that
-stands between two other non-space characters, so a text's ids are those of its
-space-separated stretches in a row. Stretches repeat; each is encoded by the
-tokenizers library once per worker and then looked up. Texts that could hold a
-special token's string go to the library whole.
+stands between two other non-space characters, nor between ASCII letters, digits
+and signs (an apostrophe may begin a contraction), so a text's ids are those of
+such stretches in a row. Stretches repeat: each batch of texts is cut into them
+as one byte buffer, Arrow numbers the distinct ones, and only those are looked
+up, or given to the tokenizers library when they are new.
+
+Texts that could hold a special token's string go to the library whole, and so
+do all texts where the file is no plain byte-level BPE (a normalizer, a space
+put first, a split of its own).
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -18,10 +24,26 @@ import numpy as np
 import pyarrow as pa
 
 END_ID = 2
-_CUT, _DOUBLE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s")
-_SIMPLE = re.compile(r"( ?[^\W\d_]+)([^\w\s]+)?\Z")
+#: Bytes of text that are cut and numbered together.
+CHUNK = 1 << 23
+_SIMPLE = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)\Z|\n\Z")
 _loaded: dict[str, "Encoder"] = {}
 
+# Bytes beside which a text may be cut: visible ASCII; letters of two bytes but for U+0080 to U+00BF; of three or four bytes but
+# for those beginning with E1, E2 and E3, where Unicode has its other white space.
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[0x21:0x7F] = True
+_OPENS = _VISIBLE.copy()
+_OPENS[0xC3:0xF5] = True
+_OPENS[0xE1:0xE4] = False
+#: Letters, digits and signs as classes; between two of them there is a boundary, but not behind an apostrophe.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = 4
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[48:58] = 2
+_TWO, _THREE, _INNER, _SPACE = (np.zeros(256, bool) for _ in range(4))
+_TWO[0xC3:0xE0], _THREE[0xE4:0xF5], _INNER[0x80:0xC0], _SPACE[[9, 10, 11, 12, 13, 32]] = True, True, True, True
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -29,9 +51,36 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def is_plain(path: str) -> bool:
+    """Whether the file is a byte-level BPE whose pre-tokens are those of the usual pattern, and nothing else."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    usual = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    extra = [model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")]
+    return bool(usual and spec.get("normalizer") is None and model.get("type") == "BPE" and not any(extra))
+
+
+def cuts(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places where stretches start: those of the texts, white space behind visible characters, what stands behind a line feed or tab alone, changes of class."""
+    kind, at = _CLASS[b], np.flatnonzero(b[:-1] == 0xC3)
+    at = at[(b[at + 1] & 0xDF) != 0x97]  # letters of U+00C0 to U+00FF, so without the two signs of arithmetic
+    kind[at] = kind[at + 1] = 1
+    inner = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0) & (b[:-1] != 0x27)) + 1
+    space = np.flatnonzero(_SPACE[b])
+    space = space[space > 2]
+    one, two, three = b[space - 1], b[space - 2], b[space - 3]
+    before = space[_VISIBLE[one] | (_INNER[one] & (_TWO[two] | (_INNER[two] & _THREE[three])))]
+    single = before[(before < len(b) - 1) & (b[before] != 0x20)]
+    behind = single[_OPENS[b[single + 1]]] + 1
+    both = np.concatenate([starts, before, behind, inner])
+    both.sort()
+    return both[np.flatnonzero(np.diff(both, prepend=-1))]
+
+
 class Encoder:
     #: Entries of each of two cache generations; the older one is let go when the newer one is full.
-    CACHE = 600_000
+    CACHE = 300_000
 
     def __init__(self, path: str):
         import os
@@ -39,16 +88,14 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_file(path)
+        self.lib, self.plain = Tokenizer.from_file(path), is_plain(path)
         self.model, self.pre = self.lib.model, self.lib.pre_tokenizer
         special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
-        #: The model's letter of each byte, and two steps for parts without white space beyond a leading space.
-        self.space = self.pre.pre_tokenize_str(" ")[0][0]
+        self.special = re.compile(b"|".join(re.escape(s.encode()) for s in special) or rb"(?!)")
+        #: The model's letter of each byte.
         self.letters = {b: self._letter(b) for b in range(256)}
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     @staticmethod
     def _letter(b: int) -> str:
@@ -58,47 +105,59 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        return map(self._one, texts)
-
-    def _one(self, text: str) -> bytes:
-        if self.special.search(text):
-            return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if _DOUBLE.search(text):
-            first, *rest = _CUT.split(text)
-            pieces = [first, *[" " + x for x in rest]]
-        else:
-            pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
+        return self.of_array(pa.array(texts, pa.large_string()))
+
+    def of_array(self, texts: pa.Array) -> Iterator[bytes]:
+        """The same of an Arrow column of texts without nulls."""
+        wide = texts.cast(pa.large_binary())
+        _, ends, data = wide.buffers()
+        ends = np.frombuffer(ends, np.int64)[wide.offset : wide.offset + len(wide) + 1]
+        b = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        lo = 0
+        while lo < len(wide):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + CHUNK, "right")) - 1)
+            yield from self._chunk(b[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo])
+            lo = hi
+
+    def _whole(self, raw: bytes) -> bytes:
+        return array("I", self.lib.encode(raw.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids).tobytes()
+
+    def _chunk(self, b: np.ndarray, ends: np.ndarray) -> Iterator[bytes]:
+        raw = b.tobytes()
+        if not self.plain:
+            yield from (self._whole(raw[s:e]) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+            return
+        whole = {int(np.searchsorted(ends, m.start(), "right")) - 1 for m in self.special.finditer(raw)}
+        starts = cuts(b, ends[:-1][np.diff(ends) > 0])
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(b)).astype(np.int64)), pa.py_buffer(raw)])
+        coded = pieces.dictionary_encode()
+        ids = self._lookup(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
+        which = coded.indices.to_numpy()
+        many = sizes[which]
+        done = np.concatenate([[0], np.cumsum(many)])
+        out = flat[np.repeat(at[which] - done[:-1], many) + np.arange(done[-1])].tobytes()
+        edges = (4 * done[np.searchsorted(starts, ends)]).tolist()
+        for k, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            yield self._whole(raw[ends[k] : ends[k + 1]]) if k in whole else out[s:e]
+
+    def _lookup(self, pieces: list[bytes]) -> list[bytes]:
         if len(self.new) > self.CACHE:
             self.old, self.new = self.new, {}
         new = self.new
-        try:
-            return b"".join([new[x] for x in pieces])
-        except KeyError:
-            return b"".join([new[x] if x in new else self._add(x) for x in pieces])
+        return [new[x] if x in new else self._add(x) for x in pieces]
 
-    def _add(self, piece: str) -> bytes:
+    def _add(self, piece: bytes) -> bytes:
         found = self.old.get(piece)
         if found is None:
-            m = _SIMPLE.match(piece)
-            if m and m[1].strip(" ").isalpha():  # a word, and signs after it
-                found = self._part(m[1]) + (self._part(m[2]) if m[2] else b"")
+            if _SIMPLE.match(piece):  # one pre-token
+                parts = [piece.decode("latin-1").translate(self.letters)]
             else:
-                found = b"".join([self._mapped(p) for p, _ in self.pre.pre_tokenize_str(piece)])
-        self.new[piece] = found
-        return found
-
-    def _part(self, part: str) -> bytes:
-        if part.isascii():
-            return self._mapped(part.replace(" ", self.space))
-        return self._mapped(part.encode().decode("latin-1").translate(self.letters))
-
-    def _mapped(self, part: str) -> bytes:
-        """Ids of one pre-token in the model's own byte letters."""
-        found = self.parts.get(part)
-        if found is None:
-            if len(self.parts) > 2 * self.CACHE:
-                self.parts.clear()
-            found = self.parts[part] = array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+                parts = [p for p, _ in self.pre.pre_tokenize_str(piece.decode("utf-8", "surrogatepass"))]
+            found = array("I", [t.id for p in parts for t in self.model.tokenize(p)]).tobytes()
+        if len(piece) <= 64:
+            self.new[piece] = found
         return found
 
 
@@ -115,13 +174,14 @@ def vocabulary_size(path: str) -> int:
 
 
 def encode_batches(batches, tokenizer: str, end_id: int):
-    """(doc_ids, ids per document with the end id) of each Arrow batch."""
+    """(doc_ids, ids per document with the end id) of each Arrow batch, some documents at a time."""
     encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-        texts = batch.column(batch.schema.get_field_index("text"))
+        found = encode.of_array(batch.column(batch.schema.get_field_index("text")))
         for at in range(0, len(ids), 256):
-            yield ids[at : at + 256], [x + end for x in encode([t or "" for t in texts.slice(at, 256).to_pylist()])]
+            some = ids[at : at + 256]
+            yield some, [next(found) + end for _ in some]
 
 
 def crc(data: bytes) -> int:

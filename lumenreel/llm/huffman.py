@@ -4,9 +4,11 @@ Global id counts give one code for the corpus; files hold independent blocks of
 ids with the bit offset of each block, and are decoded by table lookups, all
 blocks of a file in step.
 
-Edge cases: null text counts as empty (only the end id); an empty table gives no
-files and no rows; rows that share a doc_id stand next to each other, by text;
-other columns are ignored.
+Edge cases: null text counts as empty (only the end id); rows without a doc_id
+come first and are given back without one; rows that share a doc_id, repeated
+rows too, stand next to each other, by text, each with its own ids; a text of any
+length is one document (a file is closed after it); an empty table gives no files
+and no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from lumenreel.llm import bpe
 from lumenreel.llm.common import Workspace, table, text_or_empty, write_file
 
-MAGIC = b"LRHUF1\0\0"
+MAGIC = b"LRHUF2\0\0"
 #: Ids in a block, ids after which a file is closed, longest code.
 BLOCK, FILE_IDS, MAX_BITS = 1024, 1 << 21, 16
 
@@ -114,26 +116,27 @@ class Code:
         return out.reshape(-1)[:n]
 
 
-def file_bytes(code: Code, doc_ids: list[int], docs: list[np.ndarray]) -> bytes:
-    """Magic; counts; then document ids, their lengths, block offsets and bits, each with its size."""
+def file_bytes(code: Code, doc_ids: list[int | None], docs: list[np.ndarray]) -> bytes:
+    """Magic; counts; then document ids, which of them are null, their lengths, block offsets and bits, each with its size."""
     ids = np.concatenate(docs)
     bits, offsets = code.encode(ids)
-    parts = [np.diff(np.array(doc_ids, "<i8"), prepend=0).tobytes(), np.array(list(map(len, docs)), "<u4").tobytes(), np.diff(offsets.astype("<i8"), prepend=0).tobytes()]
+    numbers, null = np.array([i or 0 for i in doc_ids], "<i8"), np.array([i is None for i in doc_ids], np.uint8)
+    parts = [np.diff(numbers, prepend=0).tobytes(), null.tobytes(), np.array(list(map(len, docs)), "<u8").tobytes(), np.diff(offsets.astype("<i8"), prepend=0).tobytes()]
     parts = [zlib.compress(p, 1) for p in parts] + [bits]
-    return MAGIC + struct.pack("<7q", len(docs), len(ids), BLOCK, *map(len, parts)) + b"".join(parts)
+    return MAGIC + struct.pack("<8q", len(docs), len(ids), BLOCK, *map(len, parts)) + b"".join(parts)
 
 
-def read_file(code: Code, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read_file(code: Code, data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Document ids, their numbers of ids, and all ids of one file."""
     if data[:8] != MAGIC:
         raise ValueError("not a token file")
-    _, n, block, *sizes = struct.unpack("<7q", data[8:64])
-    at, parts = 64, []
+    _, n, block, *sizes = struct.unpack("<8q", data[8:72])
+    at, parts = 72, []
     for s in sizes:
         parts.append(data[at : at + s])
         at += s
-    doc_ids, lengths, offsets = (np.frombuffer(zlib.decompress(p), d) for p, d in zip(parts, ("<i8", "<u4", "<i8"), strict=False))
-    return np.cumsum(doc_ids), lengths.astype(np.int64), code.decode(parts[3], np.cumsum(offsets), n, block)
+    doc_ids, null, lengths, offsets = (np.frombuffer(zlib.decompress(p), d) for p, d in zip(parts, ("<i8", "?", "<u8", "<i8"), strict=False))
+    return pa.array(np.cumsum(doc_ids), mask=null), lengths.astype(np.int64), code.decode(parts[4], np.cumsum(offsets), n, block)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, ws: Workspace, tokenizer: str | None = None, end_id: int = bpe.END_ID) -> tuple[DataFrame, Code]:
@@ -159,7 +162,8 @@ def write_token_files(spark: SparkSession, docs: DataFrame, ws: Workspace, token
             yield bpe.as_batch(schema, [[pid] * len(ids), list(range(seq, seq + len(ids))), doc_ids, small])
             seq += len(ids)
 
-    ordered = text_or_empty(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Ranges by id and the beginning of the text, so that rows of one id, or of none, need not be one task's.
+    ordered = text_or_empty(docs).repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     ids = ws.save(ordered.mapInArrow(tokenize, "pid int, seq long, doc_id long, ids binary"), "ids")
 
     def count(batches):
