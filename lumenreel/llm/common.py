@@ -35,6 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Most bytes of one Arrow batch between Spark and Python: executors keep several of them outside the heap.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, unless it has a smaller bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Workspace:
     """Tables and files of one job under the shared folder.
 
@@ -44,6 +56,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark).rstrip('/')}/{job}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._quiet_drop)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import table, text_or_empty
+from lumenreel.llm.common import small_batches, table, text_or_empty
 from lumenreel.llm.runs import KIND, word_hashes
 
 ROWS, DIM, NONZERO, REACH, PARTS = 1 << 14, 32, 4, 2, 16
@@ -164,6 +164,7 @@ def held_out() -> Column:
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple[np.ndarray, Network]:
     """Word vectors from all documents; the network from at most ``most`` labelled rows that are not held out."""
+    small_batches(spark)
     vectors = word_vectors(*context_sums(docs))
     sample = labels.filter(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     shared = spark.sparkContext.broadcast(vectors)
