@@ -1,5 +1,6 @@
 """Operators 5 and 6: exact round trip of ids, and a packing that holds every piece once."""
 
+import random
 import zlib
 
 import numpy as np
@@ -30,6 +31,27 @@ def test_cache_gives_the_librarys_ids(spark, sf):
         assert x == ids(t)[:-1].tobytes()
 
 
+def test_cache_on_odd_texts():
+    """Strings of control characters, white space of all kinds, letters, marks and signs."""
+    encode = bpe.encoder(bpe.default_tokenizer())
+    assert encode.plain and not bpe.is_plain(bpe.default_tokenizer().replace("byte_bpe_50k", "word_bpe_49k"))
+    rng = random.Random(7)
+    ranges = [(0, 0x7F), (0, 0x7F), (0, 0x24F), (0x300, 0x20FF), (0x2000, 0x30FF), (0x10000, 0x1FFFF)]
+    for _ in range(5):
+        alphabet = [chr(rng.randint(*rng.choice(ranges))) for _ in range(60)] + [" ", "\n", "\n\n", "\t", "'", "'s", " a", "ab", "Éa", "\x7f", "\x00", "\x07", "\x1c", "9", "<|endoftext|>", "\u00a0", "\u3000"]
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 16))) for _ in range(20_000)]
+        want = encode.lib.encode_batch(texts, add_special_tokens=False)
+        assert all(np.array(w.ids, "<u4").tobytes() == x for w, x in zip(want, encode(texts), strict=True))
+
+
+def test_another_kind_of_file_is_the_librarys_alone():
+    from tokenizers import Tokenizer
+
+    path = bpe.default_tokenizer().replace("byte_bpe_50k", "word_bpe_49k")
+    lib, texts = Tokenizer.from_file(path), ["Some  Words, é!", "", " x"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.Encoder(path)(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 50, 3000])
 def test_code_round_trip(n):
     rng = np.random.default_rng(n)
@@ -54,6 +76,17 @@ def test_files_give_back_every_document(spark):
     assert huffman.op5_huffman_token_files(spark, "/root/testdata/sf0.001").count() == 200
 
 
+def test_rows_without_an_id(spark):
+    ws, ids = Workspace(spark, "t"), library_ids()
+    rows = [(None, "b\x7f c"), (5, "x\x00 y"), (None, "a"), (None, None), (5, "x\x00 y")]
+    files, code = huffman.write_token_files(spark, frame(spark, rows), ws)
+    got = huffman.read_token_files(spark, files, code, ws).orderBy("start").collect()
+    order = [(None, ""), (None, "a"), (None, "b\x7f c"), (5, "x\x00 y"), (5, "x\x00 y")]
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got] == [(i, len(ids(t)), zlib.crc32(ids(t).tobytes())) for i, t in order]
+    packed = packing.pack_documents(spark, frame(spark, rows), Workspace(spark, "t")).collect()
+    assert sorted(r.ids_crc32 for r in packed) == sorted(zlib.crc32(ids(t).tobytes()) for _, t in rows)
+
+
 def test_no_documents(spark):
     ws = Workspace(spark, "t")
     files, code = huffman.write_token_files(spark, frame(spark, []), ws)
@@ -98,9 +131,55 @@ def test_configurations_place_the_demand():
     lengths = np.sort(rng.choice(np.arange(1, 1025), 400, replace=False))
     demand = rng.integers(1, 3000, 400)
     made = np.zeros(400, np.int64)
-    for times, config in (plan := packing.configurations(lengths, demand)):
-        assert (config * lengths).sum() <= 1024
-        made += times * config
+    for times, used, many in (plan := packing.configurations(lengths, demand)):
+        assert (many * lengths[used]).sum() <= 1024 and len(set(used)) == len(used)
+        made[used] += times * many
     assert (made == demand).all()
-    plain = packing.best_fit(lengths, demand, 1024)
-    assert sum(t for t, _ in plan) <= 1.005 * sum(t for t, _ in plain)
+    assert packing.sequences(plan) <= 1.002 * packing.program(lengths, demand)[2]
+
+
+def test_the_program_places_nearly_all(sf):
+    """Against its own lower bound, and against best fit alone, on this table's lengths, as they are and a hundred times over."""
+    import pyarrow.parquet as pq
+
+    assert packing.sequences(packing.configurations(np.array([300, 350, 400]), np.array([1000] * 3))) == 1125  # 500, 250 and 375 of its three best
+    texts = pq.read_table(f"{sf}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    n = np.array([len(x) // 4 + 1 for x in bpe.encoder(bpe.default_tokenizer())([t or "" for t in texts])])
+    histogram = np.bincount((n - 1) % 1024 + 1, minlength=1025)
+    histogram[1024] += ((n - 1) // 1024).sum()
+    lengths = np.flatnonzero(histogram)
+    for times in (1, 100):
+        demand = histogram[lengths] * times
+        made, left, bound = packing.program(lengths, demand)
+        used = packing.sequences(packing.configurations(lengths, demand))
+        assert (left * lengths).sum() <= 0.05 * (demand * lengths).sum()
+        assert bound <= used <= 1.003 * bound + 1
+        assert used <= 1.001 * packing.sequences(packing.best_fit(lengths, demand, 1024))
+
+
+def test_bounds_hold_for_what_can_be_counted():
+    """Small programs solved by trying all packings."""
+    from functools import cache
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        lengths = np.sort(rng.choice(np.arange(1, 13), 4, replace=False))
+        demand = rng.integers(1, 4, 4)
+
+        @cache
+        def fewest(left: tuple) -> int:
+            if not any(left):
+                return 0
+            big = max(k for k in range(4) if left[k])
+            start = tuple(x - (k == big) for k, x in enumerate(left))
+
+            def fill(rest, room, k):
+                if k < 0:
+                    return 1 + fewest(rest)
+                return min(fill(tuple(x - m * (i == k) for i, x in enumerate(rest)), room - m * int(lengths[k]), k - 1) for m in range(min(rest[k], room // int(lengths[k])) + 1))
+
+            return fill(start, 12 - int(lengths[big]), 3)
+
+        best = fewest(tuple(demand.tolist()))
+        assert packing.program(lengths, demand, 12)[2] <= best + 1e-9
+        assert best <= packing.sequences(packing.configurations(lengths, demand, 12)) <= best + 1
