@@ -9,8 +9,9 @@ arrays.
 
 Order two: the model keeps all bigrams of the corpus without pruning.
 
-Edge cases: null text counts as empty (only the end token); repeated rows are
-trained on and scored each; with no training documents N = V = 0 and every word
+Edge cases: null text counts as empty (only the end token); rows without a doc_id
+have ``held_out`` null and are trained on; texts of any length are counted and
+scored whole; repeated rows are trained on and scored each, equal texts alike; with no training documents N = V = 0 and every word
 has probability 1; an empty table gives no rows; other columns are ignored.
 """
 
@@ -85,6 +86,8 @@ class Model:
     tokens: int = 0
     discounts: list[list[float]] = field(default_factory=list)
     types: int = 0
+    #: Words with one, two, and three or more different words before them.
+    low: list[int] = field(default_factory=list)
 
     @property
     def words(self) -> int:
@@ -103,12 +106,13 @@ class Reader:
     def __init__(self, model: Model):
         self.model = model
         self.base = np.concatenate([[0], np.cumsum(model.sizes)]).astype(np.int64)
-        self.maps: dict[tuple[str, int], np.ndarray] = {}
+        self.maps: dict[tuple[str, int, int], np.ndarray] = {}
 
     def map(self, name: str, shard: int, dtype) -> np.ndarray:
-        if (name, shard) not in self.maps:
-            self.maps[name, shard] = self.model.array(name, shard, dtype)
-        return self.maps[name, shard]
+        key = name, shard, np.dtype(dtype).itemsize
+        if key not in self.maps:
+            self.maps[key] = self.model.array(name, shard, dtype)
+        return self.maps[key]
 
     def _find(self, keys: np.ndarray, shard: np.ndarray, name: str) -> np.ndarray:
         """Places of sorted unique keys within their shard, -1 where absent."""
@@ -135,6 +139,11 @@ class Reader:
             out[rows] = self.map(name, int(s), dtype).reshape(-1, width)[ids[rows] - self.base[int(s)]]
         return out if width > 1 else out[:, 0]
 
+    def counts(self, shard: int) -> np.ndarray:
+        """Counts of a shard's bigrams: 32 bits each, or 64 where one of them needs more."""
+        pairs, small = self.map("pair", shard, np.uint64), self.map("count", shard, np.uint32)
+        return small if len(small) == len(pairs) else self.map("count", shard, np.int64)
+
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts of unique bigrams (word number << 32 | word number)."""
         shard = shard_of(mix64(keys), self.model.shards)
@@ -144,7 +153,7 @@ class Reader:
         out = np.zeros(len(keys), np.int64)
         for s, rows in zip(*_groups(shard[order], order), strict=True) if len(keys) else []:
             ok = rows[at[rows] >= 0]
-            out[ok] = self.map("count", int(s), np.uint32)[at[ok]]
+            out[ok] = self.counts(int(s))[at[ok]]
         return out
 
 
@@ -191,6 +200,8 @@ def train(spark: SparkSession, docs: DataFrame, ws: Workspace) -> Model:
     for r in found:
         sizes[r.shard] = r.n
     model = Model(folder, shards, sizes, sum(r.total for r in found))
+    if model.words >= 2**32 - 1:
+        raise ValueError("more different words than 32-bit numbers")
     start = model.words  # the number of the start of a text
 
     def send_pairs(batches):
@@ -217,7 +228,7 @@ def train(spark: SparkSession, docs: DataFrame, ws: Workspace) -> Model:
     def merge_pairs(key, pdf: pd.DataFrame) -> pd.DataFrame:
         keys, n = _merge([unpack(x) for x in pdf.m])
         write_file(f"{folder}/pair-{key[0]}", keys.tobytes())
-        write_file(f"{folder}/count-{key[0]}", np.minimum(n, 2**32 - 1).astype(np.uint32).tobytes())
+        write_file(f"{folder}/count-{key[0]}", n.astype("<u4" if n.max(initial=0) < 2**32 else "<i8").tobytes())
         left, right, one = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), np.ones(len(keys), np.int64)
         after = _merge([[left, (n == 1) * one, (n == 2) * one, (n > 2) * one, n]])
         before = _merge([[right, one]])
@@ -242,6 +253,7 @@ def train(spark: SparkSession, docs: DataFrame, ws: Workspace) -> Model:
     lower = stats.filter("kind != 'of'").groupBy("kind", "shard").applyInPandas(merge_stats, "n1 long, n2 long, n3 long, n4 long, types long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "types")]).first()
     upper = np.sum([np.frombuffer(r.m, np.int64) for r in stats.filter("kind = 'of'").select("m").collect()] or [[0] * 4], axis=0)  # one row a shard
     model.discounts, model.types = [_discounts(list(lower[:4])), _discounts(upper.tolist())], lower.types
+    model.low = [lower.n1, lower.n2, model.words - lower.n1 - lower.n2]  # every word has something before it
     ws.drop("stats")
     return model
 
@@ -282,25 +294,13 @@ class Scorer:
         if not m.types:
             return np.ones(len(n))
         d1, d2 = np.array([0, *m.discounts[0]]), np.array([0, *m.discounts[1]])
-        low_mass = (d1[1] * self.low(1) + d1[2] * self.low(2) + d1[3] * self.low(3)) / m.types
+        low_mass = (d1[1] * m.low[0] + d1[2] * m.low[1] + d1[3] * m.low[2]) / m.types
         low = np.maximum(before - d1[np.minimum(before, 3)], 0) / m.types + low_mass / (m.words + 1)
         total = after[:, 3]
         mass = (d2[1] * after[:, 0] + d2[2] * after[:, 1] + d2[3] * after[:, 2]) / np.maximum(1, total)
         high = np.maximum(n - d2[np.minimum(n, 3)], 0) / np.maximum(1, total)
         return np.where(total > 0, high + mass * low, low)
 
-    def low(self, k: int) -> int:
-        """Words with k (3: three or more) different words before them."""
-        if not hasattr(self, "_low"):
-            counts = [0, 0, 0, 0]
-            for s in range(self.model.shards):
-                x = self.model.array("before", s, np.int64)
-                for i in (1, 2):
-                    counts[i] += int((x == i).sum())
-                counts[3] += int((x > 2).sum())
-            self._low = counts
-        return self._low[k]
-
 
 def m_start(reader: Reader) -> np.ndarray:
     x = reader.map("after", reader.model.shards, np.int64)

@@ -8,10 +8,13 @@ vectors; a two-layer network scores them, and a temperature fitted on labelled
 rows that the network has not seen calibrates its probabilities.
 
 Edge cases: null and empty texts pool to zeros and get the score of that point;
-repeated documents are scored each; labels that are null, and labelled rows
+very long texts are pooled whole; ``held_out`` is null, and labels are not
+learned from, where doc_id is null; repeated documents are scored each, and equal
+texts get equal scores; of repeated labels of one id the greatest counts, and of
+documents that share it at most the bound are learned from, all told; labels that are null, and labelled rows
 without a document, are left out; with labels of one kind only, or none, every
 score is the share of label 1 (0.5 without labels); an empty table gives no
-rows; other columns are ignored.
+rows; other columns are ignored, a column ``score`` too.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from lumenreel.llm.common import small_batches, table, text_or_empty
 from lumenreel.llm.runs import KIND, word_hashes
 
 ROWS, DIM, NONZERO, REACH, PARTS = 1 << 14, 32, 4, 2, 16
-#: The most labelled rows that the network is fitted on.
+#: The most labelled rows, after the join with documents, that the network is fitted on.
 MAX_LABELLED = 20_000
 HIDDEN, EPOCHS, SEED = 32, 60, 3
 
@@ -175,27 +178,27 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = MAX
             x = pool(batch.column(2).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([ids, y, pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
 
-    rows = text_or_empty(docs).join(F.broadcast(sample), "doc_id").select("doc_id", F.col("quality").cast("double").alias("y"), "text").mapInArrow(features, "doc_id long, y double, x binary").collect()
+    rows = text_or_empty(docs).join(F.broadcast(sample), "doc_id").select("doc_id", F.col("quality").cast("double").alias("y"), "text").mapInArrow(features, "doc_id long, y double, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(most).collect()
     rows.sort(key=lambda r: (r.doc_id, r.x))
     x = np.array([np.frombuffer(r.x, "<f4") for r in rows], float) if rows else np.zeros((0, vectors.shape[1] + 1))
     return vectors, Network(x, np.array([r.y for r in rows]))
 
 
-def score(spark: SparkSession, docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
-    """docs (doc_id, text and others) with ``score``: every whole text."""
+def score(spark: SparkSession, docs: DataFrame, vectors: np.ndarray, network: Network, name: str = "score") -> DataFrame:
+    """docs (doc_id, text and others) with the score of every whole text in a column ``name``, which replaces one of that name."""
     model = spark.sparkContext.broadcast((vectors, network))
-    columns = [c for c in docs.columns if c != "score"]
+    columns = [c for c in docs.columns if c != name]
     at = columns.index("text")
 
     def apply(batches):
         vectors, network = model.value
         for batch in batches:
             s = network(pool([t or "" for t in batch.column(at).to_pylist()], vectors))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*columns, name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.select(columns).mapInArrow(apply, StructType([*docs.select(columns).schema.fields, StructField("score", DoubleType())]))
+    return docs.select(columns).mapInArrow(apply, StructType([*docs.select(columns).schema.fields, StructField(name, DoubleType())]))
 
 
 def op3_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,13 +117,13 @@ def suffix_array(b: np.ndarray) -> np.ndarray:
         depth *= 2
 
 
-def common_prefixes(b: np.ndarray, order: np.ndarray, lane: int = 256) -> np.ndarray:
-    """Kasai: length of the prefix that each suffix shares with the one before it, here at most 255.
+def common_prefixes(b: np.ndarray, order: np.ndarray, most: int, lane: int = 256) -> np.ndarray:
+    """Kasai: length of the prefix that each suffix shares with the one before it; lengths beyond ``most`` make no difference and count as that.
 
     Stretches of the text are gone through in step; within one, the length falls
     by at most one from a suffix to the next.
     """
-    n, most = len(b), 255
+    n = len(b)
     before, rank = np.full(n, -1, np.int64), np.empty(n, np.int64)
     before[order[1:]] = order[:-1]
     rank[order] = np.arange(n)
@@ -145,7 +145,7 @@ def common_prefixes(b: np.ndarray, order: np.ndarray, lane: int = 256) -> np.nda
 def sorted_windows(b: np.ndarray, is_window: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct windows in order with the least place of each, and the places that are not least. ``place`` orders windows."""
     order = suffix_array(b)
-    group = np.cumsum(common_prefixes(b, order) < length)
+    group = np.cumsum(common_prefixes(b, order, length) < length)
     keep = is_window[order]
     order, group = order[keep], group[keep]
     by = np.lexsort((place[order], group))

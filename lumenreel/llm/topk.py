@@ -9,8 +9,11 @@ lossless.
 
 Edge cases: vectors that are null or hold null or non-finite components take no
 part; vectors of different length are not compared; rows that share the query's
-id are not its candidates; with fewer candidates than k all are returned; an
-empty table gives no rows.
+id are not its candidates; different rows with one id are queries of their own
+(each has its answers, under that id), equal ones are one query; repeated
+candidates are returned each; with fewer candidates than k all are returned;
+components so large that inner products could leave 64 bits raise an error;
+other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,10 +41,11 @@ def blocks(rows: DataFrame, n: int, size: int, name: str) -> DataFrame:
     def join(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
         v = np.stack(pdf.v.to_list()) if key[0] else np.zeros((len(pdf), 0))
-        return pd.DataFrame({"dim": [key[0]], name: [key[1]], f"{name}_ids": [pdf.vec_id.to_numpy(np.int64).tobytes()], f"{name}_v": [v.astype(narrow(v)).tobytes()]})
+        own = {"own": [pdf.own.to_numpy(np.int64).tobytes()]} if "own" in pdf else {}
+        return pd.DataFrame({"dim": [key[0]], name: [key[1]], **own, f"{name}_ids": [pdf.vec_id.to_numpy(np.int64).tobytes()], f"{name}_v": [v.astype(narrow(v)).tobytes()]})
 
     dealt = rows.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(many)).cast("int"))
-    return dealt.groupBy("dim", name).applyInPandas(join, f"dim int, {name} int, {name}_ids binary, {name}_v binary")
+    return dealt.groupBy("dim", name).applyInPandas(join, f"dim int, {name} int, {'own binary, ' if 'own' in rows.columns else ''}{name}_ids binary, {name}_v binary")
 
 
 def narrow(v: np.ndarray) -> type:
@@ -63,27 +67,30 @@ def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def _meet(row, step: int = 128):
     """(query ids, candidate ids, scores, own) for a few queries at a time; own marks pairs of one id."""
-    q_ids, c_ids = (np.frombuffer(row[x], np.int64) for x in ("q_ids", "c_ids"))
+    q_ids, q_own, c_ids = (np.frombuffer(row[x], np.int64) for x in ("q_ids", "own", "c_ids"))
     q, c = (wide(row[x], len(i), row["dim"]) for x, i in (("q_v", q_ids), ("c_v", c_ids)))
     for at in range(0, len(q_ids), step):
-        yield q_ids[at : at + step], c_ids, scores(q[at : at + step], c), q_ids[at : at + step, None] == c_ids[None, :]
+        yield q_ids[at : at + step], c_ids, scores(q[at : at + step], c), q_own[at : at + step, None] == c_ids[None, :]
 
 
 def exact_top_k(spark: SparkSession, queries: DataFrame, rows: DataFrame, ws: Workspace, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows of each query; both sides (vec_id, v array<long>, dim)."""
-    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    # Rows that share an id and differ are queries of their own; equal ones are one query.
+    queries = ws.save(queries.select("vec_id", "v", "dim").distinct().withColumn("own", F.col("vec_id")).withColumn("vec_id", F.monotonically_increasing_id()), "queries")
     n_q, n_c = queries.count(), rows.count()
     empty = "query_id long, rank int, vec_id long, score long"
     if not n_q or not n_c:
         return spark.createDataFrame([], empty)
     top = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("m")).first().m
+    if max(top, 1.0) >= 2.0**62:
+        raise ValueError("inner products of these components leave the range of 64-bit integers")
     top = max(top, queries.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("m")).first().m)
     q = ws.save(blocks(queries, n_q, QUERY_BLOCK, "q"), "q")
     c = ws.save(blocks(rows, n_c, ROW_BLOCK, "c"), "c")
     many = q.count()
     # Every block of candidates is sent to each block of queries: a stated query set against all rows.
     pairs = c.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n_q // QUERY_BLOCK)) - 1)))).join(q, ["dim", "q"]).repartition(max(2, min(many * c.count(), 4096)), "q", "c")
-    pairs = pairs.select("dim", "q", "q_ids", "q_v", "c_ids", "c_v")
+    pairs = pairs.select("dim", "q", "own", "q_ids", "q_v", "c_ids", "c_v")
 
     bound = float(np.floor(top)) + 1
     was, low, width = None, -bound, float(max(1, 2 ** int(np.ceil(np.log2(max(1.0, 2 * bound / BINS))))))
@@ -131,8 +138,9 @@ def exact_top_k(spark: SparkSession, queries: DataFrame, rows: DataFrame, ws: Wo
                     yield pd.DataFrame({"query_id": ids[i], "vec_id": c_ids[j], "score": s[i, j].astype(np.int64)})
 
     best = pairs.join(state_blocks(state, n_q), "q").mapInPandas(keep, "query_id long, vec_id long, score long")
+    own = queries.select(F.col("vec_id").alias("query_id"), "own")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked.join(own, "query_id").select(F.col("own").alias("query_id"), "rank", "vec_id", "score")
 
 
 def state_blocks(state: DataFrame, n_q: int) -> DataFrame:

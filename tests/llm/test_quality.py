@@ -29,6 +29,16 @@ def test_edges(spark):
     assert quality.score(spark, none, *quality.fit(spark, none, labels)).count() == 0
 
 
+def test_the_bound_holds_for_rows_that_share_an_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, f"word {i}", 1) for i in range(300)], "doc_id long, text string, x int")
+    seen = []
+    real = quality.Network.__init__
+    monkeypatch.setattr(quality.Network, "__init__", lambda self, x, y: (seen.append(len(x)), real(self, x, y))[1])
+    labels = spark.createDataFrame([(0, 1), (0, 0)], "doc_id long, quality int")
+    quality.fit(spark, docs, labels, 50)
+    assert seen == [50]
+
+
 def test_temperature_keeps_order():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 5))

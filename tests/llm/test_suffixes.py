@@ -70,6 +70,13 @@ def test_parts_are_merged(part):
     assert sorted(got.tolist()) == want and want
 
 
+def test_strings_longer_than_a_byte_counts(spark):
+    shared = "".join(random.Random(5).choices("abc d", k=700))
+    rows = [(1, "x" + shared), (2, shared + "y"), (3, "z" + shared[:400]), (4, shared[:299])]
+    got = run(spark, rows, length=300)
+    assert got == brute(rows, 300) and [r[2] for r in got] == [0, 700, 400, 0]
+
+
 def test_edges(spark):
     rng = random.Random(5)
     long = "".join(rng.choices("abcdefgh ", k=30000))
@@ -95,4 +102,4 @@ def test_suffix_array_and_prefixes(alphabet):
             while max(x, y) + k < n and b[x + k] == b[y + k]:
                 k += 1
             want.append(min(k, 255))
-        assert suffixes.common_prefixes(a, order, lane=16).tolist() == want
+        assert suffixes.common_prefixes(a, order, 255, lane=16).tolist() == want

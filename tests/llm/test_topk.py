@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from lumenreel.llm import topk
 from lumenreel.llm.common import Workspace
@@ -44,3 +45,12 @@ def test_empty_and_few(spark):
     assert run(spark, []) == []
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [5.0, 0.0])]
     assert run(spark, rows) == brute(rows, 20, 20)
+
+
+def test_rows_that_share_an_id_and_large_components(spark):
+    """Different rows of one id are queries of their own, equal ones one query."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [5.0, 0.0]), (2, [0.0, 3.0]), (3, [1.0, 1.0])]
+    got = run(spark, rows, 20, 2)
+    assert got == sorted([(0, 1, 1, 64 * 64 * 5), (0, 2, 3, 64 * 64), (0, 1, 2, 64 * 64 * 3), (0, 2, 3, 64 * 64)])
+    with pytest.raises(ValueError, match="64-bit"):
+        run(spark, [(0, [1e18, 0.0]), (1, [1e18, 1.0])])
