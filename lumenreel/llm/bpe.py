@@ -25,7 +25,7 @@ import pyarrow as pa
 
 END_ID = 2
 #: Bytes of text that are cut and numbered together.
-CHUNK = 1 << 23
+CHUNK = 6 << 20
 _SIMPLE = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)\Z|\n\Z")
 _loaded: dict[str, "Encoder"] = {}
 
@@ -80,7 +80,7 @@ def cuts(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 class Encoder:
     #: Entries of each of two cache generations; the older one is let go when the newer one is full.
-    CACHE = 300_000
+    CACHE = 450_000
 
     def __init__(self, path: str):
         import os
@@ -174,15 +174,26 @@ def vocabulary_size(path: str) -> int:
 
 
 def encode_batches(batches, tokenizer: str, end_id: int):
-    """(doc_ids, ids per document with the end id) of each Arrow batch, some documents at a time."""
-    encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-    for batch in batches:
-        ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-        found = encode.of_array(batch.column(batch.schema.get_field_index("text")))
+    """(doc_ids, ids per document with the end id), some documents at a time; batches are taken together up to a chunk's bytes."""
+    encode, end, held, size = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), [], 0
+
+    def encoded():
+        ids = [i for b in held for i in b.column(b.schema.get_field_index("doc_id")).to_pylist()]
+        found = encode.of_array(pa.concat_arrays([b.column(b.schema.get_field_index("text")).cast(pa.large_string()) for b in held]))
+        held.clear()
         for at in range(0, len(ids), 256):
             some = ids[at : at + 256]
             yield some, [next(found) + end for _ in some]
 
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= CHUNK:
+            yield from encoded()
+            size = 0
+    if held:
+        yield from encoded()
+
 
 def crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF

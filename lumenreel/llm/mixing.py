@@ -9,8 +9,12 @@ hypergeometric draws, each shard gets disjoint ranges of each permutation, and
 orders its blocks by another hash.
 
 Edge cases: null text has size 0; a null source is a source of its own, the last;
-sources without words have target 0; repeated rows count and are returned each;
-an empty table gives no rows; other columns are ignored.
+sources without words have target 0; rows without a doc_id, and repeated rows,
+count and are returned each (equal ones are numbered, so each has its own place);
+very long texts are many blocks; ties in the permutation are broken by doc_id,
+number and block; other columns are ignored, and kept whatever their names (but
+for names that end in two underscores) by ``mixed_documents``; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -157,6 +161,8 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, ws: Workspace) -> Data
     """``docs`` as the mix takes them: one row for each pass over a document, with its text (and ``n_chars``, if there is one).
 
     A partial pass has the words of the blocks taken, in order, one space apart.
+    Rows lie by output shard and in the order of places within it; a text of several
+    blocks stays whole and lies where its first block was dealt.
     """
     words = F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long")
     numbered = docs.withColumn("size__", words).withColumn("copy__", F.row_number().over(Window.partitionBy("doc_id", "source", "size__").orderBy("text")))
@@ -164,14 +170,17 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, ws: Workspace) -> Data
     rows = held.select("doc_id", "source", F.col("size__").alias("size"), F.col("copy__").alias("copy"))
     per = ws.save(targets(rows), "sources")
     blocks = mix_blocks(spark, rows, per, ws).groupBy("doc_id", "source", "copy", "epoch")
-    passes = blocks.agg(F.sum("n_words").alias("words"), F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("blocks"))
-    passes = ws.save(passes.withColumnsRenamed({"doc_id": "d", "source": "s", "copy": "c"}), "passes")
-    taken = held.filter("size__ > 0").join(passes, held.doc_id.eqNullSafe(passes.d) & held.source.eqNullSafe(passes.s) & (held.copy__ == passes.c))
-    part = F.expr(rf"array_join(transform(blocks, b -> array_join(slice(regexp_extract_all(text, r'{WORD_RE}', 0), cast(b.first_word + 1 as int), cast(b.n_words as int)), ' ')), ' ')")
-    out = taken.withColumn("text", F.when(F.col("words") == F.col("size__"), F.col("text")).otherwise(part))
+    where = F.min_by(F.struct("shard", "position"), "first_word")
+    passes = blocks.agg(F.sum("n_words").alias("words__"), F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("blocks__"), where.alias("where__"))
+    passes = ws.save(passes.withColumnsRenamed({"doc_id": "d__", "source": "s__", "copy": "c__", "epoch": "epoch__"}), "passes")
+    taken = held.filter("size__ > 0").join(passes, held.doc_id.eqNullSafe(passes.d__) & held.source.eqNullSafe(passes.s__) & (held.copy__ == passes.c__))
+    # The words of a partly taken text are found once, not once a block.
+    part = F.expr(_let(rf"regexp_extract_all(text, r'{WORD_RE}', 0)", "w", "array_join(transform(blocks__, b -> array_join(slice(w, cast(b.first_word + 1 as int), cast(b.n_words as int)), ' ')), ' ')"))
+    out = taken.withColumn("text", F.when(F.col("words__") == F.col("size__"), F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    laid = out.repartition("where__.shard").sortWithinPartitions("where__.shard", "where__.position", "epoch__")
+    return laid.select(docs.columns)
 
 
 def op8_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,11 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from lumenreel.llm import pii, quality
+from lumenreel.llm import mixing, pii, quality
+from lumenreel.llm.common import Workspace
 from tests.llm.test_tokens import library_ids
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -99,3 +102,36 @@ def test_edges(spark, sf):
     mixed = corpus_pipeline.mix_sources(spark, docs, sf).collect()
     assert {r.doc_id for r in mixed} == {2, 3, 5, None} or {r.doc_id for r in mixed} == {2, 3, 5}
     assert corpus_pipeline.pack_sequences(spark, docs, sf).count() == len(rows_) - 1 + -(-(len(library_ids()("w " * 30000))) // 1024)
+
+
+def test_other_columns_stay(spark, sf):
+    """Extra columns, with names that operators use themselves, go through all stages but the last as they are."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id % 5 = 0")
+    extra = {c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in ("score", "found", "words", "blocks", "epoch", "d", "s", "c", "uid", "copy", "size", "shard", "position", "node", "component_id", "n", "occ", "kind", "value", "target", "length", "ids")}
+    docs = docs.withColumns(extra)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), docs.schema)
+        assert docs.count() and set(extra) < set(docs.columns)
+        assert not docs.filter(" or ".join(f"{c} != concat('{c}', doc_id)" for c in extra)).count()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= docs.count()
+
+
+def test_rows_lie_by_shard(spark, sf, monkeypatch):
+    """Within each partition the mix stage's rows stand by shard and place of their first block."""
+    monkeypatch.setattr(mixing.mix_blocks, "__defaults__", (2000, mixing.SEED))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("n_chars", F.col("doc_id"))
+    mixed = mixing.mixed_documents(spark, docs.drop("n_chars"), Workspace(spark, "t")).select("doc_id", F.spark_partition_id().alias("p")).collect()
+    first = {}
+    for r in sorted(mixing.mixed(spark, docs, Workspace(spark, "t"))[2].collect(), key=lambda r: -r.first_word):
+        first[r.doc_id, r.epoch] = (r.shard, r.position)
+    places = {}
+    for (doc_id, _), place in first.items():
+        places.setdefault(doc_id, set()).add(place)
+    assert len(mixed) == len(first) and len({s for s, _ in first.values()}) > 3
+    homes = {}
+    for p in {r.p for r in mixed}:
+        at = (-1, -1)
+        for r in (r for r in mixed if r.p == p):
+            at = min(x for x in places[r.doc_id] if x > at)  # the order goes on
+            places[r.doc_id].remove(at)
+            assert homes.setdefault(at[0], p) == p
