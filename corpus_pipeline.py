@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``. All but the last keep
-the columns of ``documents``; a stage's edge cases are those of its operator.
+the columns of ``documents``, and any others: names that end in two underscores
+are the stages' own. Null and empty texts are scored, are no duplicates, hold no
+personal data, are not taken by the mix, which takes words, and are packed as
+their end id; very long texts go through whole; repeated rows are one after the
+second stage; an empty table stays empty. All else is as the operators state.
 """
 
 from __future__ import annotations
@@ -19,14 +23,15 @@ MIN_QUALITY, SHINGLE_WORDS, SIMILARITY = 0.5, 5, 80
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents that the classifier, fitted on this stage's input, does not reject."""
-    scored = quality.score(spark, docs, *quality.fit(spark, docs, table(spark, sf_dir, "labels")))
-    return scored.filter(F.col("score") >= MIN_QUALITY).select(docs.columns)
+    scored = quality.score(spark, docs, *quality.fit(spark, docs, table(spark, sf_dir, "labels")), name="score__")
+    return scored.filter(F.col("score__") >= MIN_QUALITY).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: of each group of linked documents the one with the smallest id, once.
 
-    Documents without words are no duplicates; rows without an id cannot stand for a group and stay.
+    Documents without words are no duplicates; rows without an id cannot stand for a group and stay. Of rows that share
+    an id, and with it a group, the one that is least in the order of its columns stays, whole.
     """
     classes = partenum.jaccard_classes(spark, docs, Workspace(spark, "dedup"), SHINGLE_WORDS, SIMILARITY, 100)
     kept = classes.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows__"))
