@@ -23,9 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from lumenreel.llm.common import trim
+
 END_ID = 2
 #: Bytes of text that are cut and numbered together.
-CHUNK = 6 << 20
+CHUNK = 2 << 20
 _SIMPLE = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)\Z|\n\Z")
 _loaded: dict[str, "Encoder"] = {}
 
@@ -80,7 +82,7 @@ def cuts(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 class Encoder:
     #: Entries of each of two cache generations; the older one is let go when the newer one is full.
-    CACHE = 450_000
+    CACHE = 400_000
 
     def __init__(self, path: str):
         import os
@@ -137,7 +139,9 @@ class Encoder:
         which = coded.indices.to_numpy()
         many = sizes[which]
         done = np.concatenate([[0], np.cumsum(many)])
-        out = flat[np.repeat(at[which] - done[:-1], many) + np.arange(done[-1])].tobytes()
+        where = np.repeat(at[which] - done[:-1], many)
+        where += np.arange(done[-1])
+        out = flat[where].tobytes()
         edges = (4 * done[np.searchsorted(starts, ends)]).tolist()
         for k, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             yield self._whole(raw[ends[k] : ends[k + 1]]) if k in whole else out[s:e]
@@ -193,6 +197,7 @@ def encode_batches(batches, tokenizer: str, end_id: int):
             size = 0
     if held:
         yield from encoded()
+    trim()
 
 
 def crc(data: bytes) -> int:

@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Most bytes of one Arrow batch between Spark and Python: executors keep several of them outside the heap.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -47,6 +47,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def trim() -> None:
+    """Give memory that a worker no longer uses back to the machine: workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
 class Workspace:
     """Tables and files of one job under the shared folder.
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import Workspace, mix64, n_shards, pack, shard_of, table, text_or_empty, unpack
+from lumenreel.llm.common import Workspace, mix64, n_shards, pack, shard_of, table, text_or_empty, trim, unpack
 from lumenreel.llm.components import components
 from lumenreel.llm.runs import word_hashes
 
@@ -255,6 +255,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
                     yield from send()
         if held:
             yield from send()
+        trim()
 
     def meet(key, pdf: pd.DataFrame) -> pd.DataFrame:
         """kind 1: stars dealt by member; kind 2: lists of two or more nodes, each list once, kept by shard; kind 3: the sizes of a node's lists, dealt by node."""
@@ -294,6 +295,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
                 sets = list(shingle_sets(some.column(1).to_pylist(), n))
                 keep = [i for i, (s, want) in enumerate(zip(sets, some.column(0).to_pylist(), strict=True)) if len(s) and node_of(s) == want]
                 yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(keep, pa.int64())), pa.array([shrink(sets[i]) for i in keep], pa.binary())], names=["node", "s"])
+        trim()
 
     def may_link(batches):
         for batch in batches:

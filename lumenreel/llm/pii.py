@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import Workspace, table
+from lumenreel.llm.common import Workspace, table, trim
 
 KINDS = ("email", "ip", "card", "phone")
 FORMS = {
@@ -185,6 +185,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     rows.append(([sum(b[2] == k for b in base) for k in range(len(KINDS))], hashlib.sha256(joined.encode()).hexdigest(), occ))
                 counts = [pa.array([r[0][k] for r in rows], pa.int64()) for k in range(len(KINDS))]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *counts, pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], _OCC)], names=["doc_id", "uid", *[f"n_{k}" for k in KINDS], "base_sha256", "occ"])
+        trim()
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text")
     return rows.mapInArrow(find, f"doc_id long, uid long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, occ {_OCC_DDL}")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import small_batches, table, text_or_empty
+from lumenreel.llm.common import small_batches, table, text_or_empty, trim
 from lumenreel.llm.runs import KIND, word_hashes
 
 ROWS, DIM, NONZERO, REACH, PARTS = 1 << 14, 32, 4, 2, 16
@@ -64,6 +64,7 @@ def context_sums(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                             total += np.bincount(x * DIM + at[y, k], weights=sign[y, k], minlength=ROWS * DIM)
         whole = np.concatenate([total.reshape(ROWS, DIM), seen[:, None]], axis=1).astype(np.int64).reshape(PARTS, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([zlib.compress(x.astype("<i8").reshape(-1, 1).view(np.uint8).T.tobytes(), 1) for x in whole], pa.binary())], names=["part", "m"])
+        trim()
 
     def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(_matrix(x) for x in pdf.m)
@@ -195,6 +196,7 @@ def score(spark: SparkSession, docs: DataFrame, vectors: np.ndarray, network: Ne
         for batch in batches:
             s = network(pool([t or "" for t in batch.column(at).to_pylist()], vectors))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*columns, name])
+        trim()
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
