@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,16 @@ ORACLE_SQL: dict[str, str] = {}
 NOW, EVENTS_NOW = "1998-06-01", "2024-01-15 12:00:00"
 
 
+def ny_sql(utc: str) -> str:
+    """DuckDB SQL for New York's clock: daylight saving from the first Sunday of April to the last of October (the years to 2006)."""
+    spans = []
+    for year in range(1992, 2007):
+        first = next(d for d in range(1, 8) if date(year, 4, d).weekday() == 6)
+        last = next(d for d in range(31, 24, -1) if date(year, 10, d).weekday() == 6)
+        spans.append(f"{utc} >= TIMESTAMP '{year}-04-{first:02d} 07:00:00' AND {utc} < TIMESTAMP '{year}-10-{last} 06:00:00'")
+    return f"({utc} - INTERVAL (CASE WHEN {' OR '.join(spans)} THEN 4 ELSE 5 END) HOUR)"
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f

@@ -107,14 +107,14 @@ def replace_bridge(spark, sf_dir):
     return S.replace_children(of("F"), of("P"), "movie_id")
 
 
-@query("close_posts", f"SELECT post_id, CASE WHEN type = 'SELL' AND showtime_id < 10 THEN 'CLOSED' ELSE status END AS status FROM {POSTS}")
+@query("close_posts", f"SELECT post_id, CASE WHEN type = 'SELL' AND showtime_id < 10 THEN 'CLOSED' ELSE status END AS status, CASE WHEN type = 'SELL' AND showtime_id < 10 THEN CASE WHEN status = 'CLOSED' THEN '2023-12-31 00:00' ELSE '1998-06-01 00:00' END WHEN status = 'CLOSED' THEN '2023-12-31 00:00' END AS closed_at FROM {POSTS}")
 def close_posts(spark, sf_dir):
-    rows = posts(spark, sf_dir).withColumn("closed_at", F.lit(None).cast("timestamp_ntz"))
+    rows = posts(spark, sf_dir).withColumn("closed_at", F.when(F.col("status") == "CLOSED", F.lit("2023-12-31").cast("timestamp_ntz")))
     asked = rows.filter("type = 'SELL' and showtime_id < 10").select("post_id")
-    return S.close_posts(rows, asked, "post_id", NOW).select("post_id", "status")
+    return S.close_posts(rows, asked, "post_id", NOW).select("post_id", "status", F.date_format("closed_at", "yyyy-MM-dd HH:mm").alias("closed_at"))
 
 
-@query("market_match", f"WITH p AS (SELECT * FROM {POSTS}) SELECT a.post_id AS trigger_id, b.post_id AS recipient_id, a.showtime_id FROM p a JOIN p b ON a.showtime_id = b.showtime_id AND a.user_id <> b.user_id AND a.type <> b.type WHERE a.status = 'ACTIVE' AND b.status = 'ACTIVE' AND a.user_id < 20 AND NOT (a.post_id < 2000 AND b.post_id < 2000)")
+@query("market_match", f"WITH p AS (SELECT * FROM {POSTS}) SELECT a.post_id AS trigger_id, b.post_id AS recipient_id, a.showtime_id FROM p a JOIN p b ON a.showtime_id = b.showtime_id AND a.user_id <> b.user_id AND a.type <> b.type WHERE a.status = 'ACTIVE' AND b.status = 'ACTIVE' AND NOT (a.post_id < 2000 AND b.post_id < 2000)")
 def market_match(spark, sf_dir):
     """All active posts against all posts of the other side; pairs of early posts were notified."""
     rows = posts(spark, sf_dir)
@@ -160,7 +160,7 @@ def reminder_summary(spark, sf_dir):
     return _told(J.reminder_summary(wants(spark, sf_dir), _shown(spark, sf_dir), signups, _users(spark, sf_dir), "1998-06-05"))
 
 
-@query("director_transition", f"WITH f AS (SELECT DISTINCT user_id, p_brand AS person_id FROM {_WANTS} JOIN part ON p_partkey = movie_id WHERE user_id <= 40) SELECT DISTINCT f.user_id, f.person_id, p_partkey AS movie_id, u.email FROM f JOIN part ON p_brand = f.person_id JOIN {_USERS} u USING (user_id) WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE {UP}) AND NOT EXISTS (SELECT 1 FROM {_WANTS} w WHERE w.user_id = f.user_id AND w.movie_id = p_partkey)")
+@query("director_transition", f"WITH f AS (SELECT DISTINCT user_id, p_brand AS person_id FROM {_WANTS} JOIN part ON p_partkey = movie_id) SELECT DISTINCT f.user_id, f.person_id, p_partkey AS movie_id, u.email FROM f JOIN part ON p_brand = f.person_id JOIN {_USERS} u USING (user_id) WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE {UP}) AND NOT EXISTS (SELECT 1 FROM {_WANTS} w WHERE w.user_id = f.user_id AND w.movie_id = p_partkey)")
 def director_transition(spark, sf_dir):
     """Users follow the people of movies they want; those movies were delivered, the others of the same people are due."""
     credits = movies(spark, sf_dir).select(F.col("person").alias("person_id"), "movie_id")

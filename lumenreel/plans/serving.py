@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenreel.operators import predicates as P
 from lumenreel.operators import relational as R
-from lumenreel.plans.base import EVENTS_NOW, NOW, movies, posts, query, showtimes, table, wants
+from lumenreel.plans.base import EVENTS_NOW, NOW, movies, ny_sql, posts, query, showtimes, table, wants
 
 UP = f"l_shipdate > TIMESTAMP '{NOW}' AND l_linestatus = 'O'"
 PAGE, COLUMNS, ROWS = 2, 6, 8
@@ -60,7 +60,7 @@ def date_grouped(spark, sf_dir):
     return rows.select("movie_id", F.size("showtimes").cast("long").alias("n_showtimes"), F.date_format(F.col("showtimes")[0].start, "yyyy-MM-dd HH:mm:ss").alias("first_start"), F.array_join(F.transform("showtimes", lambda x: x.theater_id.cast("string")), ",").alias("theaters"))
 
 
-@query("detail_by_day", f"SELECT l_partkey AS movie_id, strftime(l_shipdate - INTERVAL (CASE WHEN l_shipdate >= TIMESTAMP '1998-04-05 07:00:00' AND l_shipdate < TIMESTAMP '1998-10-25 06:00:00' THEN 4 ELSE 5 END) HOUR, '%Y-%m-%d') AS day, count(*) AS n FROM lineitem WHERE {UP} AND l_shipdate < TIMESTAMP '1999-01-01' GROUP BY 1, 2")
+@query("detail_by_day", f"SELECT l_partkey AS movie_id, strftime({ny_sql('l_shipdate')}, '%Y-%m-%d') AS day, count(*) AS n FROM lineitem WHERE {UP} GROUP BY 1, 2")
 def detail_by_day(spark, sf_dir):
     """Upcoming showtimes of each movie by local day."""
     day = F.date_format(P.to_local(F.col("start")), "yyyy-MM-dd")
@@ -135,10 +135,11 @@ def want_list(spark, sf_dir):
 POSTS = "(SELECT event_id AS post_id, user_id, json_extract_string(props, '$.k')::BIGINT AS showtime_id, CASE WHEN event_type = 'click' THEN 'BUY' ELSE 'SELL' END AS type, CASE WHEN value >= 10 THEN 'ACTIVE' ELSE 'CLOSED' END AS status, ts AS updated_at, value FROM events WHERE event_type IN ('click', 'purchase'))"
 
 
-@query("market_home", f"SELECT showtime_id AS movie_id, count(*) FILTER (WHERE type = 'BUY') AS n_buy, count(*) FILTER (WHERE type = 'SELL') AS n_sell, count(DISTINCT user_id) AS n_users, strftime(max(updated_at), '%Y-%m-%d %H:%M:%S') AS updated_at FROM {POSTS} WHERE status = 'ACTIVE' GROUP BY 1")
+@query("market_home", f"SELECT showtime_id // 10 AS movie_id, count(*) FILTER (WHERE type = 'BUY') AS n_buy, count(*) FILTER (WHERE type = 'SELL') AS n_sell, count(DISTINCT user_id) AS n_users, count(DISTINCT showtime_id) AS n_showtimes, strftime(max(updated_at), '%Y-%m-%d %H:%M:%S') AS updated_at FROM {POSTS} WHERE status = 'ACTIVE' GROUP BY 1")
 def market_home(spark, sf_dir):
-    active = posts(spark, sf_dir).filter("status = 'ACTIVE'").groupBy(F.col("showtime_id").alias("movie_id"))
-    return active.agg(F.count_if(F.col("type") == "BUY").alias("n_buy"), F.count_if(F.col("type") == "SELL").alias("n_sell"), F.countDistinct("user_id").alias("n_users"), F.date_format(F.max("updated_at"), "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+    """Active posts by movie, each of which has ten showtimes here."""
+    active = posts(spark, sf_dir).filter("status = 'ACTIVE'").groupBy(F.floor(F.col("showtime_id") / 10).alias("movie_id"))
+    return active.agg(F.count_if(F.col("type") == "BUY").alias("n_buy"), F.count_if(F.col("type") == "SELL").alias("n_sell"), F.countDistinct("user_id").alias("n_users"), F.countDistinct("showtime_id").alias("n_showtimes"), F.date_format(F.max("updated_at"), "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
 
 
 @query("market_showtime", f"SELECT showtime_id, coalesce(string_agg(CASE WHEN type = 'BUY' THEN post_id::VARCHAR END, ',' ORDER BY post_id), '') AS buyers, coalesce(string_agg(CASE WHEN type = 'SELL' THEN post_id::VARCHAR END, ',' ORDER BY post_id), '') AS sellers FROM {POSTS} WHERE status = 'ACTIVE' GROUP BY 1")
