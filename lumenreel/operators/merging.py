@@ -17,9 +17,14 @@ from lumenreel.operators.relational import keep_first
 
 
 def moved(child: DataFrame, moves: DataFrame, key: str) -> DataFrame:
-    """Child rows with the target's key, and ``moved__`` (rows of targets first)."""
+    """Child rows with the target's key, ``moved__``, and ``from__``, the key they had."""
     to = moves.select(F.col("source").alias(key), F.col("target").alias("to__"))
-    return child.join(to, key, "left").withColumns({"moved__": F.col("to__").isNotNull(), key: F.coalesce("to__", key)}).drop("to__")
+    return child.join(to, key, "left").withColumns({"moved__": F.col("to__").isNotNull(), "from__": F.col(key), key: F.coalesce("to__", key)}).drop("to__")
+
+
+def first_of() -> Column:
+    """Rows of the target itself go before rows that moved; of these the one of the smallest source."""
+    return F.struct(~F.col("moved__"), -F.col("from__"))
 
 
 def showtime_score(shown: Column, ticket: Column, source: Column, source_id: Column) -> Column:
@@ -68,7 +73,7 @@ def merge_posts(posts: DataFrame, moves: DataFrame) -> DataFrame:
 def merge_wants(wants: DataFrame, moves: DataFrame) -> DataFrame:
     """The target's own want stays; a flag that is not set is taken from the source."""
     rows = moved(wants, moves, "movie_id")
-    order = F.struct(~F.col("moved__"), F.lit(0))
+    order = first_of()
     flags = rows.groupBy("user_id", "movie_id").agg(F.max_by("added_while_on_screen", F.when(F.col("added_while_on_screen").isNotNull(), order)).alias("flag__"))
     return fold(rows, ["user_id", "movie_id"], order).join(flags, ["user_id", "movie_id"]).withColumn("added_while_on_screen", F.col("flag__")).select(wants.columns)
 
@@ -76,7 +81,7 @@ def merge_wants(wants: DataFrame, moves: DataFrame) -> DataFrame:
 def merge_watches(watches: DataFrame, moves: DataFrame) -> DataFrame:
     """One watch a user: a rating if there is one, the larger review, the earlier day."""
     rows = moved(watches, moves, "movie_id")
-    order = F.struct(~F.col("moved__"), F.lit(0))
+    order = first_of()
     ratings = rows.groupBy("user_id", "movie_id").agg(F.max_by("rating", F.when(F.col("rating").isNotNull(), order)).alias("rating__"))
     return fold(rows, ["user_id", "movie_id"], order, largest=["review_words"], smallest=["watched_at"]).join(ratings, ["user_id", "movie_id"]).withColumn("rating", F.col("rating__")).select(watches.columns)
 

@@ -128,6 +128,50 @@ def fold_best(df: DataFrame, keys: Sequence[str], score: Column, position: str,
     return df.groupBy(*keys).agg(*best, *filled).select(*df.columns)
 
 
+def dedupe_rows(df: DataFrame, own_id: Column, parts: Sequence[Column], position: str) -> DataFrame:
+    """The first row of each id, or, where a row has none, of each combination of its parts."""
+    text = lambda c: F.trim(F.coalesce(c.cast("string"), F.lit("")))
+    own = F.nullif(text(own_id), F.lit(""))
+    key = F.when(own.isNotNull(), F.struct(F.lit("id").alias("kind"), own.alias("key"))).otherwise(F.struct(F.lit("parts").alias("kind"), F.concat_ws("|", *map(text, parts)).alias("key")))
+    return keep_first(df.withColumn("row_key__", key), ["row_key__"], [position]).drop("row_key__")
+
+
+def child_counts(parents: DataFrame, key: str, children: dict[str, DataFrame]) -> DataFrame:
+    """Parents with the number of their rows in each child table (with ``key``); counts are taken before each join."""
+    for name, child in children.items():
+        parents = parents.join(child.groupBy(key).agg(F.count(F.lit(1)).alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return parents
+
+
+def with_optional(df: DataFrame, lookup: DataFrame, on: str) -> DataFrame:
+    """Rows with the columns of a lookup table; a key that is null or unknown keeps its row."""
+    return df.join(lookup, on, "left")
+
+
+def any_of(df: DataFrame, *conditions: tuple[Column, DataFrame | None, bool], key: str) -> DataFrame:
+    """Rows that meet any of several conditions: a column, and where a table is given, whether the key is in it (True) or not."""
+    names = []
+    for i, (plain, table, wanted) in enumerate(conditions):
+        met = plain
+        if table is not None:
+            df = flag(df, table, [key], f"in{i}__")
+            names.append(f"in{i}__")
+            met = plain & (F.col(f"in{i}__") == wanted)
+        df = df.withColumn(f"met{i}__", F.coalesce(met, F.lit(False)))
+        names.append(f"met{i}__")
+    return df.filter(" or ".join(n for n in names if n.startswith("met"))).drop(*names)
+
+
+def by_locale(df: DataFrame, text: str, *ties: str) -> DataFrame:
+    """Rows in the order of a language's readers rather than of code points."""
+    return df.orderBy(F.collate(F.col(text), "UNICODE"), *ties)
+
+
+def unique_ids(df: DataFrame, key: str) -> DataFrame:
+    """Positive ids, each once."""
+    return df.select(key).filter(F.col(key) > 0).distinct()
+
+
 def numbered(df: DataFrame, order: Sequence[str], name: str, after: int = 0) -> DataFrame:
     """Rows numbered from ``after + 1`` in order: ranges are counted first, so no task holds all rows."""
     ranges = checkpoint(df.repartitionByRange(*order).withColumn("range__", F.spark_partition_id()))

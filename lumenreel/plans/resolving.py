@@ -81,23 +81,18 @@ def _moves(spark, sf_dir):
     return movies(spark, sf_dir).select(F.col("movie_id").alias("source"), first.alias("target")).filter("source <> target")
 
 
-@query("merge_wants", f"WITH {_MOVES}, w AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS movie_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey), r AS (SELECT user_id, coalesce(target, movie_id) AS movie_id, CASE WHEN movie_id > 50 THEN movie_id > 100 END AS flag, target IS NOT NULL AS moved, movie_id AS was FROM w LEFT JOIN m ON source = movie_id) SELECT user_id, movie_id, coalesce(bool_or(flag) FILTER (WHERE NOT moved), bool_or(flag)) AS added_while_on_screen FROM r GROUP BY 1, 2")
+@query("merge_wants", f"WITH {_MOVES}, w AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS movie_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey), r AS (SELECT user_id, coalesce(target, movie_id) AS movie_id, CASE WHEN movie_id > 50 THEN movie_id > 100 END AS flag, target IS NOT NULL AS moved, movie_id AS was FROM w LEFT JOIN m ON source = movie_id) SELECT user_id, movie_id, first(flag ORDER BY moved, was) FILTER (WHERE flag IS NOT NULL) AS added_while_on_screen FROM r GROUP BY 1, 2")
 def merge_wants(spark, sf_dir):
     """Wants after a merge: what a user wanted twice folds."""
     rows = wants(spark, sf_dir).withColumn("added_while_on_screen", F.when(F.col("movie_id") > 50, F.col("movie_id") > 100))
-    out = M.merge_wants(rows, _moves(spark, sf_dir))
-    # Several sources of one target may disagree; any of them counts here.
-    moved = M.moved(rows, _moves(spark, sf_dir), "movie_id").filter("moved__").groupBy("user_id", "movie_id").agg(F.bool_or("added_while_on_screen").alias("any__"))
-    own = rows.filter("added_while_on_screen is not null").select("user_id", "movie_id", F.lit(True).alias("own__"))
-    out = out.join(moved, ["user_id", "movie_id"], "left").join(own, ["user_id", "movie_id"], "left")
-    return out.select("user_id", "movie_id", F.when(F.col("own__"), F.col("added_while_on_screen")).otherwise(F.coalesce("any__", "added_while_on_screen")).alias("added_while_on_screen"))
+    return M.merge_wants(rows, _moves(spark, sf_dir)).select("user_id", "movie_id", "added_while_on_screen")
 
 
-@query("merge_watches", f"WITH {_MOVES}, w AS (SELECT o_custkey AS user_id, l_partkey AS movie_id, max(l_quantity) AS words, min(o_orderdate) AS day FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2) SELECT user_id, coalesce(target, movie_id) AS movie_id, max(words) AS review_words, strftime(min(day), '%Y-%m-%d') AS watched_at FROM w LEFT JOIN m ON source = movie_id GROUP BY 1, 2")
+@query("merge_watches", f"WITH {_MOVES}, w AS (SELECT o_custkey AS user_id, l_partkey AS movie_id, max(l_quantity) AS words, min(o_orderdate) AS day, CASE WHEN max(l_quantity) > 25 THEN max(l_quantity) END AS rating FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2) SELECT user_id, coalesce(target, movie_id) AS movie_id, max(words) AS review_words, strftime(min(day), '%Y-%m-%d') AS watched_at, first(rating ORDER BY target IS NOT NULL, movie_id) FILTER (WHERE rating IS NOT NULL) AS rating FROM w LEFT JOIN m ON source = movie_id GROUP BY 1, 2")
 def merge_watches(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("at"))
-    rows = table(spark, sf_dir, "lineitem").join(orders, "l_orderkey").groupBy("user_id", F.col("l_partkey").alias("movie_id")).agg(F.max("l_quantity").alias("review_words"), F.min("at").alias("watched_at"), F.lit(None).cast("double").alias("rating"))
-    return M.merge_watches(rows, _moves(spark, sf_dir)).select("user_id", "movie_id", "review_words", F.date_format("watched_at", "yyyy-MM-dd").alias("watched_at"))
+    rows = table(spark, sf_dir, "lineitem").join(orders, "l_orderkey").groupBy("user_id", F.col("l_partkey").alias("movie_id")).agg(F.max("l_quantity").alias("review_words"), F.min("at").alias("watched_at"), F.when(F.max("l_quantity") > 25, F.max("l_quantity")).alias("rating"))
+    return M.merge_watches(rows, _moves(spark, sf_dir)).select("user_id", "movie_id", "review_words", F.date_format("watched_at", "yyyy-MM-dd").alias("watched_at"), "rating")
 
 
 @query("merge_ledger", f"WITH {_MOVES} SELECT DISTINCT o_custkey AS user_id, coalesce(target, l_partkey) AS movie_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN m ON source = l_partkey")
