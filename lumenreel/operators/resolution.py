@@ -50,10 +50,17 @@ def match_score(keys: Column, director: Column, year: Column, title_key: Column,
 
 
 def containing_pairs(short: DataFrame, long: DataFrame, short_key: str, long_key: str, keep: tuple[str, ...], most: int = 4) -> DataFrame:
-    """Pairs where ``short_key`` is within ``long_key``: texts meet on their first characters, then are compared."""
-    a = short.filter(F.length(short_key) > 0).withColumn("gram__", F.expr(f"substr({short_key}, 1, least(length({short_key}), {most}))"))
-    grams = F.expr(f"flatten(transform(sequence(1, {most}), n__ -> if(length({long_key}) >= n__, transform(sequence(1, length({long_key}) - n__ + 1), i__ -> substr({long_key}, i__, n__)), array())))")
-    b = long.filter(F.length(long_key) > 0).withColumn("gram__", F.explode(F.array_distinct(grams)))
+    """Pairs where ``short_key`` is within ``long_key``: texts meet on the rarest stretch of the short one, then are compared.
+
+    Stretches have ``most`` characters, or as many as a shorter text has; common ones are never a key if a text has others.
+    """
+    within = lambda c, n: f"if(length({c}) >= {n}, transform(sequence(1, length({c}) - {n} + 1), i__ -> substr({c}, i__, {n})), array())"
+    b = long.filter(F.length(long_key) > 0).withColumn("gram__", F.explode(F.array_distinct(F.expr(f"flatten(transform(sequence(1, {most}), n__ -> {within(long_key, 'n__')}))"))))
+    often = b.groupBy("gram__").agg(F.count(F.lit(1)).alias("often__"))
+    keys = short.select(F.col(short_key).alias("key__")).filter("key__ <> ''").distinct()
+    grams = keys.withColumn("gram__", F.explode(F.array_distinct(F.expr(within("key__", f"least(length(key__), {most})")))))
+    rarest = grams.join(often, "gram__", "left").groupBy("key__").agg(F.min_by("gram__", F.struct(F.coalesce("often__", F.lit(0)), F.col("gram__"))).alias("gram__"))
+    a = short.join(rarest, F.col(short_key) == F.col("key__")).drop("key__")
     return a.join(b, "gram__").filter(F.contains(long_key, F.col(short_key))).select(*keep)
 
 
@@ -90,7 +97,10 @@ def match(probes: DataFrame, movies: DataFrame) -> DataFrame:
         hit = first(left.filter(F.col(key).isNotNull()).select("probe_id", key).join(movies.select("movie_id", key), key), key)
         stages.append(hit)
         left = left.join(hit, "probe_id", "left_anti")
-    link = first(left.select("probe_id", F.explode("links").alias("link")).join(movies.select("movie_id", F.explode("links").alias("link")), "link"), "link")
+    # A stored address may go on behind the probe's; case does not count. Each stored one is offered under all its beginnings.
+    asked = left.select("probe_id", F.explode("links").alias("link")).filter("link <> ''").withColumn("link", F.lower("link"))
+    stored = movies.select("movie_id", F.explode("links").alias("whole")).withColumn("link", F.explode(F.expr("transform(sequence(1, greatest(length(whole), 1)), n -> lower(substr(whole, 1, n)))")))
+    link = first(asked.join(stored, "link"), "link")
     stages.append(link)
     left = left.join(link, "probe_id", "left_anti")
     for loose, least, via in ((False, EXACT_MIN, "title"), (True, LOOSE_MIN, "loose_title")):

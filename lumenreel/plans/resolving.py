@@ -45,9 +45,34 @@ def best_match(spark, sf_dir):
     return E.best_matches(probes, films, E.candidates(probes, films, True), E.EXACT_MIN)
 
 
-@query("match_cascade", f"WITH {_SCORED} SELECT probe_id, movie_id, 'title' AS via FROM x WHERE (qd = fd OR contains(qd, fd) OR contains(fd, qd)) AND abs(qy - fy) <= 1 AND score >= 90 QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, movie_id) = 1")
+_CASCADE = """
+f AS (SELECT p_partkey AS movie_id, lower(p_name) AS k, lower(p_type) AS o, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) AS d, p_size + 1960 AS y, CASE WHEN p_size > 40 THEN p_partkey END AS t, CASE WHEN p_type LIKE '%Y' THEN p_type END AS p,
+  CASE WHEN p_size BETWEEN 25 AND 40 THEN 'tt' || p_partkey END AS imdb, CASE WHEN p_size < 25 THEN 'https://example.org/film/' || p_partkey || '/about' END AS link FROM part),
+q AS (SELECT movie_id AS id, CASE WHEN movie_id % 5 = 4 THEN regexp_replace(k, ' [^ ]+$', '') ELSE k END AS k, d, y, CASE WHEN movie_id % 5 = 0 THEN movie_id END AS t, CASE WHEN movie_id % 5 = 1 THEN 'tt' || movie_id END AS imdb, CASE WHEN movie_id % 5 = 2 THEN 'https://example.org/film/' || movie_id END AS link FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY k ORDER BY movie_id) = 1)),
+a AS (SELECT id, min(movie_id) AS movie_id FROM q JOIN f USING (t) GROUP BY 1),
+b AS (SELECT id, min(movie_id) AS movie_id FROM q JOIN f USING (imdb) WHERE id NOT IN (SELECT id FROM a) GROUP BY 1),
+c AS (SELECT id, min(movie_id) AS movie_id FROM q JOIN f ON starts_with(f.link, q.link) WHERE id NOT IN (SELECT id FROM a UNION SELECT id FROM b) GROUP BY 1),
+r AS (SELECT * FROM q WHERE id NOT IN (SELECT id FROM a UNION SELECT id FROM b UNION SELECT id FROM c)),
+x AS (SELECT r.id, f.movie_id, r.k = f.k OR r.k = f.o AS exact, (CASE WHEN r.k = f.k THEN 100 WHEN r.k = f.o THEN 95 WHEN contains(r.k, f.k) OR contains(f.k, r.k) OR contains(r.k, f.o) OR contains(f.o, r.k) THEN 35 ELSE 0 END
+  + 40 + CASE abs(r.y - f.y) WHEN 0 THEN 25 ELSE 10 END + CASE WHEN f.t IS NOT NULL THEN 5 ELSE 0 END + CASE WHEN f.p IS NOT NULL THEN 5 ELSE 0 END)::INTEGER AS score
+  FROM r JOIN f ON (contains(r.k, f.k) OR contains(f.k, r.k) OR contains(r.k, f.o) OR contains(f.o, r.k)) AND (r.d = f.d OR contains(r.d, f.d) OR contains(f.d, r.d)) AND abs(r.y - f.y) <= 1 AND (r.k = f.k OR r.k = f.o OR length(r.k) >= 4 OR contains(r.k, ' '))),
+d AS (SELECT id, movie_id FROM x WHERE exact AND score >= 90 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, movie_id) = 1),
+e AS (SELECT id, movie_id FROM x WHERE score >= 60 AND id NOT IN (SELECT id FROM d) QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, movie_id) = 1)"""
+
+
+@query("match_cascade", f"WITH {_CASCADE} SELECT id AS probe_id, movie_id, 'tmdb_id' AS via FROM a UNION ALL SELECT *, 'imdb' FROM b UNION ALL SELECT *, 'link' FROM c UNION ALL SELECT *, 'title' FROM d UNION ALL SELECT *, 'loose_title' FROM e")
 def match_cascade(spark, sf_dir):
-    return E.match(_probes(spark, sf_dir), _films(spark, sf_dir))
+    """Probes with an external id, a title id, the beginning of an address, a whole title, or one without its last word; each stage has some to decide."""
+    id_text, size, fifth = F.col("movie_id").cast("string"), F.col("runtime"), F.col("movie_id") % 5
+    address = F.concat(F.lit("https://example.org/film/"), id_text)
+    none = F.array().cast("array<string>")
+    rows = movies(spark, sf_dir).withColumns({"original_title": F.col("genre"), "director": F.col("person"), "year": size + 1960, "tmdb_id": F.when(size > 40, F.col("movie_id")), "poster": F.when(F.endswith("genre", F.lit("Y")), F.col("genre"))})
+    rows = rows.withColumns({"imdb": F.when(size.between(25, 40), F.concat(F.lit("tt"), id_text)), "links": F.when(size < 25, F.array(F.concat(address, F.lit("/about")))).otherwise(none)})
+    films = E.with_keys(rows)
+    first = R.keep_first(films, ["title_key"], ["movie_id"])
+    key = F.when(fifth == 4, F.regexp_replace("title_key", " [^ ]+$", "")).otherwise(F.col("title_key"))
+    probes = first.select(F.col("movie_id").alias("probe_id"), F.array(key).alias("keys"), "director_key", "year", F.when(fifth == 0, F.col("movie_id")).alias("tmdb_id"), F.when(fifth == 1, F.concat(F.lit("tt"), id_text)).alias("imdb"), F.when(fifth == 2, F.array(F.upper(address))).otherwise(none).alias("links"))
+    return E.match(probes, films)
 
 
 _TARGET = "(CASE WHEN p_size > 40 THEN 2000 ELSE 0 END + 120 + 70 + CASE WHEN p_type LIKE '%Y' THEN 20 ELSE 0 END + least(coalesce(n, 0), 25) + 50)"
