@@ -233,8 +233,8 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
             held.clear()
             seen.clear()
             rows = list(_messages(sig, of, nodes, sizes, shards=shards))
-            for at in range(0, len(rows), 64):
-                columns = [*[[None] * len(rows[at : at + 64])] * 4, *map(list, zip(*rows[at : at + 64], strict=True))]
+            for at in range(0, len(rows), 4):  # messages are large: few of them in a batch
+                columns = [*[[None] * len(rows[at : at + 4])] * 4, *map(list, zip(*rows[at : at + 4], strict=True))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
         for batch in batches:
@@ -274,6 +274,8 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
             nodes, inverse = np.unique(node[at].view(np.uint64), return_inverse=True)
             weight, to = np.bincount(inverse, weights=many[lists]).astype(np.int64), shard_of(mix64(nodes), shards)
             rows += [(3, int(t), pack(nodes[to == t], weight[to == t])) for t in np.unique(to)]
+        del sig, node, size
+        trim()
         return pd.DataFrame(rows, columns=["kind", "shard", "m"])
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -338,6 +340,8 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
         for shard, m in zip(asked.shard, asked.m, strict=True):
             want = unpack(m)[0]
             out.append((shard, *_carry(nodes, roots, weights, k, np.searchsorted(nodes, want))))
+        del nodes, roots, weights, k
+        trim()
         return pd.DataFrame(out, columns=["shard", "m", "k"])
 
     def with_hubs(lists: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
@@ -367,6 +371,8 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
                 out += _cross(node[rows], size[rows], label[rows], [k[x] for x in at[rows]], hub, num, den)
         pairs = np.unique(np.concatenate([*out, np.zeros((0, 2), np.int64)]), axis=0)
         shard = shard_of(mix64(pairs[:, 0].view(np.uint64)), shards)
+        del nodes, roots, weights, k, out
+        trim()
         return pd.DataFrame([(int(x), pack(pairs[shard == x, 0].view(np.uint64), pairs[shard == x, 1])) for x in np.unique(shard)], columns=["shard", "m"])
 
     def once(pdf: pd.DataFrame) -> pd.DataFrame:
