@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenreel.llm import huffman, kneserney, mixing, packing, partenum, pigeonhole, pii, quality, suffixes, topk
+from lumenreel.llm import huffman, kneserney, mixing, packing, partenum, pigeonhole, pii, quality, resampling, spelling, suffixes, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bootstrapped_pii": pii.op1_bootstrapped_pii,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hypergeometric_mix": mixing.op8_hypergeometric_mix,
     "op9_partenum_jaccard": partenum.op9_partenum_jaccard,
     "op10_suffix_array_dedup": suffixes.op10_suffix_array_dedup,
+    "op11_anagram_variants": spelling.op11_anagram_variants,
+    "op12_importance_resampling": resampling.op12_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -26,4 +28,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_histogram_top_k": topk.ORACLE,
     "op8_hypergeometric_mix": mixing.ORACLE,
     "op9_partenum_jaccard": partenum.ORACLE,
+    "op11_anagram_variants": spelling.ORACLE,
+    "op12_importance_resampling": resampling.ORACLE,
 }
