@@ -177,6 +177,16 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size()
 
 
+def bytes_of_ids(path: str) -> list[bytes]:
+    """The bytes that each id of a byte-level BPE stands for."""
+    encode = encoder(path)
+    byte_of, vocabulary = {letter: b for b, letter in encode.letters.items()}, encode.lib.get_vocab()
+    out = [b""] * (max(vocabulary.values()) + 1)
+    for letters, i in vocabulary.items():
+        out[i] = bytes(byte_of[c] for c in letters) if all(c in byte_of for c in letters) else letters.encode()
+    return out
+
+
 def encode_batches(batches, tokenizer: str, end_id: int):
     """(doc_ids, ids per document with the end id), some documents at a time; batches are taken together up to a chunk's bytes."""
     encode, end, held, size = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), [], 0

@@ -9,8 +9,10 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,21 +103,36 @@ class Workspace:
             shutil.rmtree(local_path(self.root), ignore_errors=True)
 
 
-def ordered(df: DataFrame, ws: Workspace, name: str, *by: Column) -> tuple[DataFrame, int]:
+def ordered(df: DataFrame, ws: Workspace, name: str, *by: Column, running: str | None = None) -> tuple[DataFrame, int]:
     """``df`` with the place ``at`` (from 0) of each row in the order ``by``, and the number of rows.
 
-    One sort by ranges, written once; only the number of rows of each range comes
-    to the driver. Equal rows stand in any order, which changes nothing.
+    With ``running``, ``before`` is the sum of that column over all rows before. One
+    sort by ranges, written once; only counts and sums of each range come to the
+    driver. Equal rows stand in any order.
     """
-    placed = ws.save(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id()), name)
-    part = F.shiftright("at", 33)
-    counts, starts, n = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect(), [], 0
-    for row in counts:
-        starts.append((row.part, n))
-        n += row.n
-    first = df.sparkSession.createDataFrame(starts, "part long, first long")
-    joined = placed.withColumn("part", part).join(F.broadcast(first), "part")
-    return joined.withColumn("at", F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)).drop("part", "first"), n
+    fields = df.schema.fieldNames()
+
+    def place(batches):
+        from pyspark import TaskContext
+
+        part, at, total = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            n = batch.num_rows
+            size = batch.column(fields.index(running)).to_numpy(zero_copy_only=False).astype(np.int64) if running else np.zeros(n, np.int64)
+            upto = total + np.cumsum(size)
+            columns = [*batch.columns, pa.array(np.full(n, part)), pa.array(np.arange(at, at + n)), pa.array(upto - size), pa.array(upto)]
+            yield pa.RecordBatch.from_arrays(columns, [*fields, "_part", "at", "before", "_upto"])
+            at, total = at + n, int(upto[-1]) if n else total
+
+    schema = StructType([*df.schema.fields, *(StructField(c, LongType()) for c in ("_part", "at", "before", "_upto"))])
+    placed = ws.save(df.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(place, schema), name)
+    starts, n, total = [], 0, 0
+    for row in placed.groupBy("_part").agg(F.count("*").alias("n"), F.max("_upto").alias("upto")).orderBy("_part").collect():
+        starts.append((row["_part"], n, total))
+        n, total = n + row["n"], total + row["upto"]
+    first = df.sparkSession.createDataFrame(starts, "_part long, _rows long, _sum long")
+    joined = placed.join(F.broadcast(first), "_part").withColumns({"at": F.col("at") + F.col("_rows"), "before": F.col("before") + F.col("_sum")})
+    return joined.select(*fields, "at", *(["before"] if running else [])), n
 
 
 def local_path(uri: str) -> str:

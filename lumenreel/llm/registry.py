@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenreel.llm import huffman, kneserney, mixing, packing, partenum, pigeonhole, pii, quality, resampling, spelling, suffixes, topk
+from lumenreel.llm import chat, huffman, kneserney, mixing, packing, partenum, pigeonhole, pii, quality, resampling, spelling, suffixes, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bootstrapped_pii": pii.op1_bootstrapped_pii,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_array_dedup": suffixes.op10_suffix_array_dedup,
     "op11_anagram_variants": spelling.op11_anagram_variants,
     "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_prefix_tree_chat": chat.op13_prefix_tree_chat,
 }
 
 ORACLE_SQL: dict[str, str] = {
