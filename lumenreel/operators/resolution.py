@@ -149,7 +149,7 @@ def person_names(c: Column) -> Column:
     """Names of a list of people as arrays of (first, last) keys."""
     names = F.split(F.regexp_replace(T.collapse(c), r"(?i)^directed by\s*", ""), r"(?i)\s*(?:,|&| and |/|;|\+)\s*")
     keys = F.filter(F.transform(names, lambda x: F.trim(F.regexp_replace(F.replace(F.lower(x), F.lit("'"), F.lit("")), r"[^\p{L}\p{N}]+", " "))), lambda x: x != "")
-    return F.transform(keys, lambda x: F.struct(F.element_at(F.split(x, " "), 1).alias("first"), F.element_at(F.split(x, " "), -1).alias("last")))
+    return F.transform(keys, lambda x: F.named_struct(F.lit("first"), F.element_at(F.split(x, " "), 1), F.lit("last"), F.element_at(F.split(x, " "), -1)))
 
 
 def names_match(a: Column, b: Column) -> Column:
