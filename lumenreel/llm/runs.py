@@ -1,13 +1,15 @@
 """Hashes of byte runs (words, or runs of one character class), vectorised.
 
 Texts are joined to one byte buffer; a run is a maximal stretch of bytes of one
-class other than 0. A run's hash is a 64-bit polynomial over its bytes, so equal
-runs have equal hashes on every machine; unequal ones collide with negligible
-probability.
+class other than 0. A short run's hash is a 64-bit polynomial over its bytes; as
+polynomials modulo a power of two are equal for some long runs that differ (those
+of Thue and Morse), a long run's hash is a digest of its bytes. Equal runs have
+equal hashes on every machine; unequal ones collide with negligible probability.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +20,9 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
+#: Bytes above which a run is hashed by digest.
+LONG = 32
+
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = np.ones(256, np.uint8)
 WORD[list(SPACES)] = 0
@@ -54,7 +59,10 @@ def hash_runs(data: bytes, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     total = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_BYTE[b] * up[: len(b)], out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
-    return starts, ends, mix64(h + (ends - starts).astype(np.uint64))
+    h = mix64(h + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return starts, ends, h
 
 
 def chunks(texts: list[str], lower: bool, most: int = 1 << 21) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
