@@ -73,6 +73,12 @@ def _meet(row, step: int = 128):
         yield q_ids[at : at + step], c_ids, scores(q[at : at + step], c), q_own[at : at + step, None] == c_ids[None, :]
 
 
+def _known(row, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower ends of the queries' bins, and whether each has one."""
+    at = dict(zip(np.frombuffer(row["s_ids"], np.int64).tolist(), np.frombuffer(row["s_lo"], np.int64).tolist(), strict=True))
+    return np.array([at.get(i, 0) for i in ids.tolist()], np.int64), np.array([i in at for i in ids.tolist()], bool)
+
+
 def exact_top_k(spark: SparkSession, queries: DataFrame, rows: DataFrame, ws: Workspace, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows of each query; both sides (vec_id, v array<long>, dim)."""
     # Rows that share an id and differ are queries of their own; equal ones are one query.
@@ -82,9 +88,11 @@ def exact_top_k(spark: SparkSession, queries: DataFrame, rows: DataFrame, ws: Wo
     if not n_q or not n_c:
         return spark.createDataFrame([], empty)
     top = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("m")).first().m
-    if max(top, 1.0) >= 2.0**62:
-        raise ValueError("inner products of these components leave the range of 64-bit integers")
     top = max(top, queries.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("m")).first().m)
+    # Squared norms are summed in doubles; the bound stands above what they may have lost.
+    bound = int(max(top, 1.0) * (1 + 2.0**-40)) + 1
+    if bound >= 2**62:
+        raise ValueError("inner products of these components leave the range of 64-bit integers")
     q = ws.save(blocks(queries, n_q, QUERY_BLOCK, "q"), "q")
     c = ws.save(blocks(rows, n_c, ROW_BLOCK, "c"), "c")
     many = q.count()
@@ -92,48 +100,47 @@ def exact_top_k(spark: SparkSession, queries: DataFrame, rows: DataFrame, ws: Wo
     pairs = c.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n_q // QUERY_BLOCK)) - 1)))).join(q, ["dim", "q"]).repartition(max(2, min(many * c.count(), 4096)), "q", "c")
     pairs = pairs.select("dim", "q", "own", "q_ids", "q_v", "c_ids", "c_v")
 
-    bound = float(np.floor(top)) + 1
-    was, low, width = None, -bound, float(max(1, 2 ** int(np.ceil(np.log2(max(1.0, 2 * bound / BINS))))))
+    # Bins are powers of two wide, so scores fall into them by a shift, as whole numbers throughout.
+    was, low, shift = None, -bound, max(0, (2 * bound // BINS).bit_length())
     state = None  # by query: bin that holds the k-th score [lo, lo + width), and how many are above it
     while True:
-        def histogram(batches, low=low, width=width, n=BINS + 1 if state is None else int(was // width), first=state is None):
+        def histogram(batches, low=low, shift=shift, n=BINS + 1 if state is None else 1 << (was - shift), first=state is None):
             for pdf in batches:
                 for row in pdf.to_dict("records"):
-                    at = dict(zip(np.frombuffer(row["s_ids"], np.int64).tolist(), np.frombuffer(row["s_lo"], np.float64).tolist(), strict=True)) if not first else None
                     for ids, _, s, own in _meet(row):
-                        base = np.full(len(ids), low) if first else np.array([at.get(i, np.inf) for i in ids.tolist()])
-                        b = np.floor((s - base[:, None]) / width)
-                        keep = ~own & (b >= 0) & (b < n) if not first else ~own
-                        flat = (np.arange(len(ids))[:, None] * n + b)[keep].astype(np.int64)
+                        base, has = (np.full(len(ids), low), np.ones(len(ids), bool)) if first else _known(row, ids)
+                        b = (s.astype(np.int64) - base[:, None]) >> shift
+                        keep = ~own & (b >= 0) & (b < n) & has[:, None]
+                        flat = (np.arange(len(ids))[:, None] * n + b)[keep]
                         count = np.bincount(flat, minlength=len(ids) * n).reshape(len(ids), n)
                         above = np.cumsum(count[:, ::-1], axis=1)[:, ::-1] - count
                         i, j = np.nonzero((count > 0) & (above < k))
                         yield pd.DataFrame({"query_id": ids[i], "bin": j, "n": count[i, j]})
 
         given = pairs if state is None else pairs.join(state_blocks(state, n_q), "q")
+        width = F.lit(1 << shift).cast("long")
         counts = given.mapInPandas(histogram, "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         w = Window.partitionBy("query_id").orderBy(F.desc("bin"))
         counts = counts.withColumn("upto", F.sum("n").over(w))
         if state is None:
-            found = counts.withColumns({"lo": F.lit(low) + F.col("bin") * width, "base": F.lit(0).cast("long")})
+            found = counts.withColumns({"lo": F.lit(low).cast("long") + F.col("bin").cast("long") * width, "base": F.lit(0).cast("long")})
         else:
-            found = counts.join(state.select("query_id", F.col("lo").alias("lo0"), F.col("above").alias("base")), "query_id").withColumn("lo", F.col("lo0") + F.col("bin") * width)
+            found = counts.join(state.select("query_id", F.col("lo").alias("lo0"), F.col("above").alias("base")), "query_id").withColumn("lo", F.col("lo0") + F.col("bin").cast("long") * width)
         # The bin in which the count reaches k; the lowest one, if there are fewer.
         hit = F.when(F.col("base") + F.col("upto") >= k, F.struct(F.lit(1).alias("full"), F.col("bin").alias("bin"))).otherwise(F.struct(F.lit(0).alias("full"), (-F.col("bin")).alias("bin")))
         best = found.groupBy("query_id").agg(F.max_by(F.struct("lo", (F.col("base") + F.col("upto") - F.col("n")).alias("above")), hit).alias("b"))
-        state = ws.save(best.select("query_id", "b.lo", "b.above"), f"state{int(width)}")
-        if width == 1:
+        state = ws.save(best.select("query_id", "b.lo", "b.above"), f"state{shift}")
+        if shift == 0:
             break
-        was, low, width = width, None, float(max(1, int(width) // BINS))
+        was, shift = shift, max(0, shift - BINS.bit_length() + 1)
 
     def keep(batches):
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                at = dict(zip(np.frombuffer(row["s_ids"], np.int64).tolist(), np.frombuffer(row["s_lo"], np.float64).tolist(), strict=True))
                 for ids, c_ids, s, own in _meet(row):
-                    kth = np.array([at.get(i, np.inf) for i in ids.tolist()])[:, None]
-                    tied = ~own & (s == kth)
-                    take = (~own & (s > kth)) | (tied & (np.cumsum(tied, axis=1) <= k))  # candidates stand in the order of ids
+                    kth, has = (x[:, None] for x in _known(row, ids))
+                    tied = ~own & has & (s == kth)
+                    take = (~own & has & (s > kth)) | (tied & (np.cumsum(tied, axis=1) <= k))  # candidates stand in the order of ids
                     i, j = np.nonzero(take)
                     yield pd.DataFrame({"query_id": ids[i], "vec_id": c_ids[j], "score": s[i, j].astype(np.int64)})
 
@@ -144,11 +151,11 @@ def exact_top_k(spark: SparkSession, queries: DataFrame, rows: DataFrame, ws: Wo
 
 
 def state_blocks(state: DataFrame, n_q: int) -> DataFrame:
-    """The selection's state dealt as the queries are; queries without candidates have none and are given +inf."""
+    """The selection's state dealt as the queries are; queries without candidates have none."""
     many = max(1, -(-n_q // QUERY_BLOCK))
 
     def join(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"q": [key[0]], "s_ids": [pdf.query_id.to_numpy(np.int64).tobytes()], "s_lo": [pdf.lo.to_numpy(np.float64).tobytes()]})
+        return pd.DataFrame({"q": [key[0]], "s_ids": [pdf.query_id.to_numpy(np.int64).tobytes()], "s_lo": [pdf.lo.to_numpy(np.int64).tobytes()]})
 
     return state.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(many)).cast("int")).groupBy("q").applyInPandas(join, "q int, s_ids binary, s_lo binary")
 

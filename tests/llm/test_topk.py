@@ -54,3 +54,13 @@ def test_rows_that_share_an_id_and_large_components(spark):
     assert got == sorted([(0, 1, 1, 64 * 64 * 5), (0, 2, 3, 64 * 64), (0, 1, 2, 64 * 64 * 3), (0, 2, 3, 64 * 64)])
     with pytest.raises(ValueError, match="64-bit"):
         run(spark, [(0, [1e18, 0.0]), (1, [1e18, 1.0])])
+
+
+def test_scores_beyond_the_doubles(spark):
+    """Scores of 2^60 and more that differ by one."""
+    rows = [(0, [2.0**24, 1 / 64])] + [(i, [2.0**24, i / 64]) for i in range(1, 101)]
+    got = run(spark, rows, 1000, 20)
+    assert got == brute(rows, 1000, 20)
+    assert [r[2] for r in got[:3]] == [100, 99, 98]
+    rows = [(i, [-(2.0**24), i / 64]) for i in range(60)] + [(60, [2.0**24, 5.0])]
+    assert run(spark, rows, 20, 3) == brute(rows, 20, 3)
