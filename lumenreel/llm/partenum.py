@@ -40,24 +40,23 @@ N, NUM, DEN = 4, 85, 100
 #: Signatures held by a task before they are sent on; bits of a sketch.
 HELD, SKETCH = 1_000_000, 256
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
-_LOW = np.uint64((1 << 48) - 1)
 
 
 def shingle_sets(texts: list[str], n: int = N):
-    """Sorted distinct 48-bit shingle hashes of each text, in order."""
+    """Sorted distinct 64-bit shingle hashes of each text, in order."""
     for first, last, h, offsets in word_hashes(texts):
         if n > len(_ODD):
             raise ValueError(f"at most {len(_ODD)} words a shingle")
         many = max(0, len(h) - n + 1)
         grams = sum((h[i : i + many] * _ODD[i] for i in range(n)), np.zeros(many, np.uint64))
-        grams = mix64(grams) & _LOW
+        grams = mix64(grams)
         for a, b in pairwise(offsets.tolist()):
             if b - a >= n:
                 s = np.sort(grams[a : b - n + 1])
                 yield s[np.flatnonzero(np.diff(s, prepend=s[0] + np.uint64(1)))] if len(s) > 1 else s
             elif b > a:
                 whole = sum((h[a + i : a + i + 1] * _ODD[i] for i in range(b - a)), np.full(1, b - a, np.uint64))
-                yield mix64(mix64(whole)) & _LOW
+                yield mix64(mix64(whole))
             else:
                 yield np.zeros(0, np.uint64)
 
@@ -124,16 +123,6 @@ def sketches_differ(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
-def shrink(s: np.ndarray) -> bytes:
-    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def expand(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").reshape(-1)
-
-
 def _messages(sig: np.ndarray, of: np.ndarray, nodes: np.ndarray, *columns: np.ndarray, shards: int):
     """(shard, signatures, nodes) for each shard: signatures with the place of their node among the message's nodes."""
     order = np.argsort(sig)
@@ -221,8 +210,8 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
 
     def sign(batches):
         """Rows of documents, and messages of signatures to shards."""
-        names = ["doc_id", "n_shingles", "node", "k", "shard", "m", "nodes"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+        names = ["doc_id", "lone", "n_shingles", "node", "k", "shard", "m", "nodes"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
         held: list[tuple] = []
         seen: set[int] = set()
 
@@ -234,7 +223,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
             seen.clear()
             rows = list(_messages(sig, of, nodes, sizes, shards=shards))
             for at in range(0, len(rows), 4):  # messages are large: few of them in a batch
-                columns = [*[[None] * len(rows[at : at + 4])] * 4, *map(list, zip(*rows[at : at + 4], strict=True))]
+                columns = [*[[None] * len(rows[at : at + 4])] * 5, *map(list, zip(*rows[at : at + 4], strict=True))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
         for batch in batches:
@@ -242,7 +231,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
                 some = batch.slice(at, 512)
                 sets = list(shingle_sets(some.column(1).to_pylist(), n))
                 ids = [node_of(s) if len(s) else None for s in sets]
-                columns = [some.column(0).to_pylist(), [len(s) for s in sets], ids, [long_sketch(s, num, den) if len(s) else None for s in sets], *[[None] * len(sets)] * 3]
+                columns = [some.column(0).to_pylist(), some.column(2).to_pylist(), [len(s) for s in sets], ids, [long_sketch(s, num, den) if len(s) else None for s in sets], *[[None] * len(sets)] * 3]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
                 new = {}
                 for i, s in zip(ids, sets, strict=True):
@@ -296,7 +285,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
                 some = batch.slice(at, 512)
                 sets = list(shingle_sets(some.column(1).to_pylist(), n))
                 keep = [i for i, (s, want) in enumerate(zip(sets, some.column(0).to_pylist(), strict=True)) if len(s) and node_of(s) == want]
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(keep, pa.int64())), pa.array([shrink(sets[i]) for i in keep], pa.binary())], names=["node", "s"])
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(keep, pa.int64())), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["node", "s"])
         trim()
 
     def may_link(batches):
@@ -310,8 +299,8 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
             a, b, sa, sb = (c.to_pylist() for c in batch.columns)
             keep = []
             for i, (x, y) in enumerate(zip(sa, sb, strict=True)):
-                both = len(np.intersect1d(expand(x), expand(y), assume_unique=True))
-                if den * both >= num * ((len(x) + len(y)) // 6 - both):
+                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                if den * both >= num * ((len(x) + len(y)) // 8 - both):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
 
@@ -379,12 +368,13 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
         pairs = np.unique(np.concatenate([np.stack([a.view(np.int64), b], axis=1) for a, b in map(unpack, pdf.m)]), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    texts = text_or_empty(docs)
-    first = ws.save(texts.mapInArrow(sign, "doc_id long, n_shingles long, node long, k binary, shard int, m binary, nodes binary"), "signed")
+    # Rows without an id are found again by a checksum of their text.
+    texts = text_or_empty(docs).withColumn("lone", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    first = ws.save(texts.mapInArrow(sign, "doc_id long, lone long, n_shingles long, node long, k binary, shard int, m binary, nodes binary"), "signed")
     signed = first.filter("shard is null")
     rows = ws.save(signed.select("doc_id", "n_shingles", "node"), "rows")
-    sketches = ws.save(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("k").alias("k")), "sketches")
-    ids = sketches.select("node", "id")
+    sketches = ws.save(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("lone").alias("lone"), F.first("n_shingles").alias("n"), F.first("k").alias("k")), "sketches")
+    ids = sketches.select("node", "id", F.when(F.col("id").isNull(), F.col("lone")).alias("lone"))
     met = ws.save(first.filter("shard is not null").select("shard", "m", "nodes").groupBy("shard").applyInPandas(meet, "kind int, shard int, m binary"), "met")
     ws.drop("signed")
     ws.tidy()
@@ -396,7 +386,10 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
         near = ws.save(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(may_link, "a long, b long"), f"{name}-near")
         nodes = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
         wanted = ids.join(nodes, "node")
-        sets = ws.save(texts.join(wanted, texts.doc_id.eqNullSafe(wanted.id)).select("node", "text").mapInArrow(load, "node long, s binary"), f"{name}-sets")
+        known = texts.select(F.col("doc_id").alias("id"), "text").join(wanted.select("node", "id"), "id")
+        others = texts.filter("doc_id IS NULL").select("lone", "text").join(wanted.select("node", "lone"), "lone")
+        found = known.select("node", "text").unionByName(others.select("node", "text")).mapInArrow(load, "node long, s binary")
+        sets = ws.save(found.dropDuplicates(["node"]), f"{name}-sets")
         ws.tidy()
         a, b = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
         found = ws.save(near.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long"), name)
@@ -426,7 +419,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, ws: Workspace, n: int
     same = rows.filter("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b")
     shared = rows.join(same.select("doc_id", "a"), "doc_id").filter("node is not null").select("a", F.col("node").alias("b"))
     roots = components(found.union(shared), ws, "cc")
-    least = ids.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    least = ids.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     smallest = least.groupBy("root").agg(F.min("id").alias("component_id"))
     by_node = ws.save(least.join(smallest, "root").select("node", "component_id"), "components")
     return rows.join(by_node, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", F.when(F.col("node").isNull(), F.col("doc_id"))).alias("component_id"))
