@@ -9,7 +9,7 @@ from lumenreel.functions.text import collapse, html_text
 from lumenreel.functions.times import _let
 from lumenreel.operators.predicates import ZONE, to_local, to_utc
 
-# What ends a director credit, formats in overviews, types of posts, the name of members without one.
+# What ends a director credit, formats in overviews, types of posts.
 CREDIT_STOPS = (
     r"\b(18|19|20)\d{2}\b",
     r"(?i)\b\d+\s*min\b",
@@ -21,7 +21,6 @@ CREDIT_STOPS = (
 )
 OVERVIEW_FORMAT = r"(?i)\b(4K DCP|DCP|35MM|70MM|IMAX|DIGITAL)\b"
 POST_TYPES = ("BUY", "SELL")
-MEMBER = "SCREENING NYC MEMBER"
 
 
 def _at(text: Column, pattern: str) -> Column:
@@ -41,17 +40,21 @@ def director_text(c: Column, fallback: str = "Unknown") -> Column:
 
 
 def overview_meta(c: Column) -> Column:
-    """Struct of an overview: meta_line (year, runtime, format), body behind it where text stands before it too, and format."""
+    """Struct of an overview: meta_line (year, runtime, format), body behind it where text stands before it too, and format.
+
+    The line's parts are found anywhere; the body begins behind the last kind of part that is there.
+    """
+    year, minutes = r"\b(18|19|20)\d{2}\b", r"(?i)(\d+)\s*min\.?"
 
     def take(text: Column) -> Column:
-        year, minutes, kind = F.regexp_extract(text, r"\b(18|19|20)\d{2}\b", 0), F.regexp_extract(text, r"(?i)(\d+)\s*min\.?", 1), F.regexp_extract(text, OVERVIEW_FORMAT, 1)
-        line = F.array_join(F.filter(F.array(year, F.when(minutes != "", F.concat(minutes, F.lit("min"))).otherwise(""), kind), lambda x: x != ""), " / ")
-        end = lambda p: _at(text, p) - 1 + F.length(F.regexp_extract(text, p, 0))
-        last = F.when(kind != "", end(OVERVIEW_FORMAT)).when(minutes != "", end(r"(?i)(\d+)\s*min\.?")).otherwise(F.length(text))
-        start = _at(text, r"\b(18|19|20)\d{2}\b") - 1
-        before, after = F.trim(F.substring(text, F.lit(1), F.greatest(start, F.lit(0)))), F.trim(F.substring(text, last + 1, F.greatest(F.length(text), F.lit(1))))
-        body = F.when((year != "") & (before != "") & (after != ""), after).otherwise(text)
-        return F.struct(line.alias("meta_line"), body.alias("body"), kind.alias("format"))
+        # What stands before and behind the first match of each part; a part that is not there splits nothing off.
+        parts = {p: F.split(text, p, 2) for p in (year, minutes, OVERVIEW_FORMAT)}
+        behind = lambda p: F.when(F.size(parts[p]) > 1, F.element_at(parts[p], 2))
+        found = [F.regexp_extract(text, year, 0), F.nullif(F.regexp_extract(text, minutes, 1), F.lit("")), F.regexp_extract(text, OVERVIEW_FORMAT, 1)]
+        line = F.array_join(F.filter(F.array(found[0], F.concat(found[1], F.lit("min")), found[2]), lambda x: x != ""), " / ")
+        rest = F.trim(F.coalesce(behind(OVERVIEW_FORMAT), behind(minutes), F.lit("")))
+        framed = (F.size(parts[year]) > 1) & (F.trim(F.element_at(parts[year], 1)) != "") & (rest != "")
+        return F.struct(line.alias("meta_line"), F.when(framed, rest).otherwise(text).alias("body"), found[2].alias("format"))
 
     return _let(collapse(c), take)
 
@@ -61,25 +64,26 @@ def date_label(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(collapse(html_text(c)), r"\s*,\s*", ", "), r"\s+", " "))
 
 
+#: A time of day: hour, minutes behind a colon or a point, and the half of the day, with or without points and spaces.
+TIME = r"(?i)^(\d{1,2})(?:[:.](\d{2}))?\s*(?:([ap])\.?\s*m\.?)?$"
+
+
 def time_label(c: Column) -> Column:
-    """A time's text with AM or PM behind a space and minutes behind a colon."""
-    s = collapse(html_text(c))
-    for pattern, to in (
-        (r"(?i)\ba\.?\s*m\.", "AM"), (r"(?i)\bp\.?\s*m\.", "PM"), (r"(?i)\ba\s*m\b", "AM"), (r"(?i)\bp\s*m\b", "PM"),
-        (r"(?i)(\d)(am|pm)\b", "$1 $2"), (r"(?i)(\d)a\.?\s*m\.?(?!\w)", "$1 AM"), (r"(?i)(\d)p\.?\s*m\.?(?!\w)", "$1 PM"),
-        (r"\.(?=\d)", ":"), (r"\.", " "), (r"(?i)\bam\b", "AM"), (r"(?i)\bpm\b", "PM"), (r"\s+", " "),
-    ):
-        s = F.regexp_replace(s, pattern, to)
-    return F.trim(s)
+    """A time's text as ``h:mm AM``, parts that it lacks left out; other texts as they are, without markup."""
+    text = collapse(html_text(c))
+    part = lambda i: F.nullif(F.regexp_extract(text, TIME, i), F.lit(""))
+    label = F.concat_ws(" ", F.concat_ws(":", part(1), part(2)), F.concat(F.upper(part(3)), F.lit("M")))
+    return F.when(F.rlike(text, F.lit(TIME)), label).otherwise(text)
 
 
 def time_of_day(c: Column) -> Column:
     """Minutes after midnight of a label: h AM, h:mm PM, or HH:mm; null where it is none of these."""
-    label = time_label(c)
-    part = lambda i: F.regexp_extract(label, r"^(\d{1,2})(?::(\d{2}))?(?: (AM|PM))?$", i)
-    hour, minute, half = part(1).try_cast("int"), F.coalesce(part(2).try_cast("int"), F.lit(0)), part(3)
-    twelve = F.when(hour.between(1, 12), hour % 12 + F.when(half == "PM", 12).otherwise(0))
-    return F.when(minute < 60, F.when(half != "", twelve).when((part(2) != "") & (hour < 24), hour) * 60 + minute)
+    text = collapse(html_text(c))
+    part = lambda i: F.nullif(F.regexp_extract(text, TIME, i), F.lit(""))
+    hour, minute, half = part(1).try_cast("int"), part(2).try_cast("int"), F.lower(part(3))
+    twelve = F.when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
+    hours = F.when(half.isNotNull(), twelve).when(minute.isNotNull() & (hour < 24), hour)
+    return F.when(F.coalesce(minute, F.lit(0)) < 60, hours * 60 + F.coalesce(minute, F.lit(0)))
 
 
 def combine(day: Column, time: Column, zone: str = ZONE) -> Column:
@@ -128,5 +132,6 @@ def post_type(c: Column) -> Column:
     return F.when(kind.isin(*POST_TYPES), kind)
 
 
-def display_name(c: Column) -> Column:
-    return F.coalesce(F.nullif(collapse(c), F.lit("")), F.lit(MEMBER))
+def display_name(c: Column, unnamed: str) -> Column:
+    """A user's name; ``unnamed`` stands for those without one."""
+    return F.coalesce(F.nullif(collapse(c), F.lit("")), F.lit(unnamed))

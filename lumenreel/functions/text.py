@@ -92,17 +92,22 @@ def unique_texts(texts: Column) -> Column:
     return F.aggregate(cleaned, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
 
 
-# Words that make a title a program rather than a film, and patterns of program titles and overviews.
+# Words that make a title a program rather than a film.
 PROGRAM_WORDS = ["presented by", "retrospective", "comprehensive retrospective", "archive dive", "program", "series", "q&a", "conversation", "double feature", "shorts", "festival", "tribute"]
-PROGRAM_TITLES = ["tribute", "program", "pgm", "shorts", "double feature", "episodes", "panel", "secret screening", "members only", "award-winning shorts", "presents"]
-PROGRAM_OVERVIEWS = ["program of shorts", "short film program", "presents a program", "as part of", r"part of (?:the )?.+?\b(?:festival|retrospective|series)", "this (?:festival|retrospective|series)"]
+# Patterns of program titles.
+PROGRAM_TITLES = [r"\btribute\b", r"\bprogram\b", r"\bpgm\b", r"\bshorts\b", r"\bdouble feature\b", r"\bepisodes\b", r"\bpanel\b", r"\bsecret screening\b", r"\bmembers only\b", r"\baward-winning shorts\b", r"\bpresents\b"]
+# Patterns of overviews of programs, and a phrase in them.
+PROGRAM_OVERVIEWS = [
+    r"\bprogram of shorts\b",
+    r"\bshort film program\b",
+    r"\bpresents a program\b",
+    r"\bas part of\b",
+    r"\bpart of (?:the )?.+?\b(?:festival|retrospective|series)\b",
+    r"\bthis (?:festival|retrospective|series)\b",
+]
 PROGRAM_PHRASE = "special thanks to"
 
 
-def _whole(patterns: list[str]) -> str:
-    return r"\b(?:" + "|".join(patterns) + r")\b"
-
-
 def program_title(c: Column) -> Column:
     text = F.lower(collapse(c))
     return (text != "") & F.rlike(text, F.lit("|".join(PROGRAM_WORDS)))
@@ -110,7 +115,7 @@ def program_title(c: Column) -> Column:
 
 def program_content(title: Column, overview: Column) -> Column:
     text = comparable(overview)
-    return F.rlike(comparable(title), F.lit(_whole(PROGRAM_TITLES))) | F.rlike(text, F.lit(_whole(PROGRAM_OVERVIEWS))) | F.contains(text, F.lit(PROGRAM_PHRASE))
+    return F.rlike(comparable(title), F.lit("|".join(PROGRAM_TITLES))) | F.rlike(text, F.lit("|".join(PROGRAM_OVERVIEWS))) | F.contains(text, F.lit(PROGRAM_PHRASE))
 
 
 def words(c: Column) -> Column:

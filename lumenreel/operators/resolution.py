@@ -170,18 +170,26 @@ def people_signature(c: Column) -> Column:
     return F.array_join(F.array_sort(F.transform(person_names(c), lambda x: F.concat(x.last, F.lit(":"), F.substring(x.first, 1, 4)))), "|")
 
 
-# Signs of a programme of several films, and of a title with event text.
-PROGRAMME = r"(?i)\b(?:pgm|program)\s+\d+\s*$|\bafter dark\b|\bdouble (?:bill|feature)\b|\s+\+\s+"
-EVENT_TEXT = r"(?i)\bpresents:?\b|\b(?:q(?:\s*&\s*|\s+and\s+)a|qa|in person|discussion|panel|conversation|filmmaker|director|guest|live score)\b"
+# Signs of a programme of several films anywhere in a title; at its end; words of events; escapes.
+PROGRAMME = [r"\bafter dark\b", r"\bdouble (?:bill|feature)\b", r"\s+\+\s+"]
+PROGRAMME_NUMBER = r"\b(?:pgm|program)\s+\d+\s*$"
+PRESENTED = r"\bpresents:?\b"
+EVENT_TEXT = r"\b(q(?:\s*&\s*|\s+and\s+)a|q&a|qa|in person|discussion|panel|conversation|filmmaker|director|guest|live score)\b"
+ESCAPED = r"\\u[0-9a-fA-F]{4}"
+
+
+def _has(text: Column, *patterns: str) -> Column:
+    return F.rlike(text, F.lit("(?i)" + "|".join(patterns)))
 
 
 def programme(title: Column) -> Column:
-    return F.rlike(T.clean(title), F.lit(PROGRAMME))
+    return _has(T.clean(title), PROGRAMME_NUMBER, *PROGRAMME)
 
 
 def suspicious(title: Column, canonical: Column) -> Column:
+    """A title that is not its canonical form, a programme, or names a presenter or an event."""
     text = T.clean(title)
-    return (text != "") & ((text != canonical) | programme(title) | F.rlike(text, F.lit(EVENT_TEXT)))
+    return (text != "") & ((text != canonical) | programme(title) | _has(text, ESCAPED, PRESENTED, EVENT_TEXT))
 
 
 def titles_overlap(a: Column, b: Column) -> tuple[Column, Column]:

@@ -68,8 +68,8 @@ def active_days(spark, sf_dir):
     return table(spark, sf_dir, "orders").filter(L.active_day(F.date_format("o_orderdate", "yyyy-MM-dd"), NOW)).select(F.col("o_orderkey").alias("id"))
 
 
-@query("market_fields", "SELECT event_id, CASE WHEN event_type = 'click' THEN 'BUY' WHEN event_type = 'purchase' THEN 'SELL' END AS type, CASE WHEN user_id % 2 = 0 THEN 'SCREENING NYC MEMBER' ELSE 'user ' || user_id END AS name FROM events")
+@query("market_fields", "SELECT event_id, CASE WHEN event_type = 'click' THEN 'BUY' WHEN event_type = 'purchase' THEN 'SELL' END AS type, CASE WHEN user_id % 2 = 0 THEN 'A MEMBER' ELSE 'user ' || user_id END AS name FROM events")
 def market_fields(spark, sf_dir):
     raw = F.when(F.col("event_type") == "click", F.lit(" buy ")).when(F.col("event_type") == "purchase", F.lit("Sell")).otherwise(F.col("event_type"))
     name = F.when(F.col("user_id") % 4 == 0, F.lit("  ")).when(F.col("user_id") % 2 == 1, F.concat(F.lit(" user   "), F.col("user_id").cast("string")))
-    return table(spark, sf_dir, "events").select("event_id", L.post_type(raw).alias("type"), L.display_name(name).alias("name"))
+    return table(spark, sf_dir, "events").select("event_id", L.post_type(raw).alias("type"), L.display_name(name, "A MEMBER").alias("name"))
