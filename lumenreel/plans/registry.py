@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenreel.plans import changes, listings, people, resolving, serving, texts  # noqa: F401  (they register their queries)
+from lumenreel.plans import changes, listings, merging, people, resolving, serving, texts  # noqa: F401  (they register their queries)
 from lumenreel.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
