@@ -132,19 +132,21 @@ def attribute(name: str) -> Column:
     return F.when(there, T.decode_entities(F.concat(*[F.regexp_extract("attrs", pattern, i) for i in (1, 2, 3)])))
 
 
-_SIMPLE = re.compile(r"([#.]?)([\w-]+)|\[([\w-]+)(?:\s*=\s*[\"']?([^\"'\]]*)[\"']?)?\]|\*")
+_SIMPLE = re.compile(r"([#.]?)([\w-]+)|\[([\w-]+)(?:\s*(\*?=)\s*[\"']?([^\"'\]]*)[\"']?)?\]|\*")
 
 
 def _matches(compound: str) -> Column:
-    """Condition of one part of a selector: tag, #id, .class, [attr], [attr=value]."""
+    """Condition of one part of a selector: tag, #id, .class, [attr], [attr=value], [attr*=part of a value]."""
     out, at = F.lit(True), 0
     while at < len(compound):
         m = _SIMPLE.match(compound, at)
         if not m:
             raise ValueError(f"no selector: {compound}")
-        sign, name, attr, value = m.groups()
-        if attr:
-            out = out & (attribute(attr) == value if value is not None else F.rlike("attrs", F.lit(rf"(?i)(?:^|\s){re.escape(attr)}(?=[\s=/]|$)")))
+        sign, name, attr, how, value = m.groups()
+        if attr and how:
+            out = out & (attribute(attr) == value if how == "=" else F.contains(attribute(attr), F.lit(value)))
+        elif attr:
+            out = out & (F.rlike("attrs", F.lit(rf"(?i)(?:^|\s){re.escape(attr)}(?=[\s=/]|$)")))
         elif sign == "#":
             out = out & (attribute("id") == name)
         elif sign == ".":
@@ -203,37 +205,39 @@ class Site:
 
     ``card`` selects what holds one film; ``fields`` are read once a card, from the
     first element (or the n-th, from 0) that matches; ``rows`` selects the showtimes in
-    it, ``row_fields`` say what each gives; ``running`` are labels that count for all rows behind
-    them, until the next one. What is read is "text" or the name of an attribute.
+    it, ``row_fields`` say what each gives; ``running`` are labels that count for all
+    rows of the card behind them, until the next one. What is read is "text" or the name
+    of an attribute; ``card_fields`` are attributes of the card itself.
     """
 
     card: str
     rows: str
     fields: dict[str, tuple[str, str] | tuple[str, str, int]] = field(default_factory=dict)
     row_fields: dict[str, str] = field(default_factory=dict)
-    running: dict[str, str] = field(default_factory=dict)
+    running: dict[str, tuple[str, str]] = field(default_factory=dict)
+    card_fields: dict[str, str] = field(default_factory=dict)
 
 
 def listing(pages: DataFrame, site: Site, key: str = "page_id", html: str = "html") -> DataFrame:
     """One row for each row element of a card: key, card, start, the fields, row fields and running labels. Cards within a card belong to it."""
     found = tokens(pages, key, html)
     rows = elements(found, key)
-    flags = {"card__": site.card, "row__": site.rows} | {f"field_{n}": f[0] for n, f in site.fields.items()} | {f"label_{n}": s for n, s in site.running.items()}
+    flags = {"card__": site.card, "row__": site.rows} | {f"field_{n}": f[0] for n, f in site.fields.items()} | {f"label_{n}": s for n, (s, _) in site.running.items()}
     for name, selector in flags.items():
         rows = marked(rows, selector, name, key)
     # The card around an element: the last one that began, if it has not ended; inner cards are none.
     before = Window.partitionBy(key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     outer = F.coalesce(F.max(F.when(F.col("card__"), F.col("end"))).over(before) < F.col("start"), F.lit(True))
     rows = rows.withColumn("outer__", F.col("card__") & outer)
-    around = F.last(F.when(F.col("outer__"), F.struct("start", "end")), ignorenulls=True).over(before)
+    around = F.last(F.when(F.col("outer__"), F.struct("start", "end", *[attribute(a).alias(n) for n, a in site.card_fields.items()])), ignorenulls=True).over(before)
     rows = rows.withColumn("around__", around).filter(F.col("around__.end") >= F.col("start")).withColumn("card", F.col("around__.start"))
     wanted = [n for n in flags if n != "card__"]
     rows = with_text(rows.filter(" OR ".join(wanted)), texts(found, key), key)
     value = lambda what: F.nullif(F.col("text") if what == "text" else attribute(what), F.lit(""))
 
     inside = Window.partitionBy(key, "card").orderBy("start")
-    labels = {n: F.last(F.when(F.col(f"label_{n}"), F.col("text")), ignorenulls=True).over(inside) for n in site.running}
-    times = rows.withColumns(labels).filter("row__").select(key, "card", "start", *site.running, *[value(w).alias(n) for n, w in site.row_fields.items()])
+    labels = {n: F.last(F.when(F.col(f"label_{n}"), value(what)), ignorenulls=True).over(inside) for n, (_, what) in site.running.items()}
+    times = rows.withColumns(labels).filter("row__").select(key, "card", "start", *site.running, *[F.nullif(F.col(f"around__.{n}"), F.lit("")).alias(n) for n in site.card_fields], *[value(w).alias(n) for n, w in site.row_fields.items()])
     per_card = []
     for n, f in site.fields.items():
         place = F.when(F.col(f"field_{n}"), F.struct("start", value(f[1]).alias("v")))

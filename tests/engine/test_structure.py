@@ -1,6 +1,7 @@
 import random
 import re
 
+from lumenreel.sources import sites
 from lumenreel.sources import structure as S
 
 CARDS = """<html><body><h5 class=sr-only>before</h5>
@@ -10,7 +11,7 @@ CARDS = """<html><body><h5 class=sr-only>before</h5>
 <div class="card"><h3 class="title"><a href="/film/3">Empty</a></h3></div><!-- <div class="card"> --><div class="day"><a href="/x">outside</a></div></body></html>"""
 SITE = S.Site(
     card=".card", rows=".times .day > a", fields={"title": ("h3.title a", "text"), "url": ("h3.title a", "href"), "meta": ("h5", "text", 1)},
-    row_fields={"time": "text", "ticket": "href"}, running={"date": "h6, h5.sr-only"},
+    row_fields={"time": "text", "ticket": "href"}, running={"date": ("h6, h5.sr-only", "text")},
 )
 
 
@@ -24,6 +25,30 @@ def test_a_site_as_data(spark):
     ]
 
 
+SHOWN = {
+    "metrograph": """<div class="homepage-in-theater-movie"><a><img class="main-image" src="/p.jpg"></a><h3 class="movie_title"><a href="/film?id=9">Heat</a></h3><h5>Michael Mann</h5><h5>1995 / 170min / 35mm</h5>
+        <div class="showtimes"><h6>Fri May 1</h6><div class="film_day"><a href="/t/1">7:00pm</a></div></div></div>""",
+    "quad": """<div class="now-single-day"><div class="trailing-rule-wrap"><h1>Fri 1 May</h1></div><div class="now-listings"><div class="single-listing"><h4><a href="/film/ran">Ran</a></h4><ul class="showtimes-list"><li><a href="https://t.example/5">1.30pm</a><li><a href="/6">4.00pm*</a></ul></div>
+        <div class="single-listing"><h4><a href="/event/x">Party</a></h4><ul class="showtimes-list"><li><a href="/7">9.00pm</a></ul></div></div></div>""",
+    "roxy": """<div class="detailed-screening__card" data-datetime="2024-05-01T19:00"><div class="detailed-screening__title">Jaws [35mm]</div><div class="detailed-screening__time">7pm</div><div class="detailed-screening__info">1975, 124 min</div>
+        <a class="detailed-screening__cta" href="https://x/purchase/77/">Buy</a><a class="detailed-screening__cta cta--text-link" href="/jaws">More</a></div>
+        <div class="detailed-screening__card"><div class="detailed-screening__title">Alien</div><div class="detailed-screening__time">May 2, 9pm</div></div>""",
+}
+
+
+def test_sites(spark):
+    pages = spark.createDataFrame([(i, slug, f"https://{slug}.example/now/", html) for i, (slug, html) in enumerate(SHOWN.items())], "page_id long, slug string, url string, html string")
+    got = sorted(map(tuple, sites.scraped_pages(pages).select("slug", "movie_title", "start_raw", "ticket_url", "source_url", "raw_format", "year", "runtime", "poster_url").collect()))
+    assert got == [
+        ("metrograph", "Heat", "Fri May 1 7:00pm", "https://metrograph.example/t/1", "https://metrograph.example/film?id=9", "35mm", 1995, 170, "https://metrograph.example/p.jpg"),
+        ("quad", "Ran", "Fri 1 May 1.30pm", "https://t.example/5", "https://quad.example/film/ran", None, None, None, None),
+        ("quad", "Ran", "Fri 1 May 4.00pm", "https://quad.example/6", "https://quad.example/film/ran", None, None, None, None),
+        ("roxy", "Alien", "May 2, 9pm", None, "https://roxy.example/now/", None, None, None, None),
+        ("roxy", "Jaws [35mm]", "2024-05-01T19:00", "https://x/purchase/77/", "https://roxy.example/jaws", None, 1975, 124, None),
+    ]
+    assert sites.scraped_pages(pages.filter("slug = 'none'")).collect() == []
+
+
 def found(spark, html, selector):
     pages = spark.createDataFrame([(1, html)], "page_id long, html string")
     t = S.tokens(pages)
