@@ -94,21 +94,35 @@ def dedupe_by_any_key(df: DataFrame, position: str, keys: Sequence[Column], scop
 def join_one_to_one(left: DataFrame, right: DataFrame, left_keys: str, right_keys: str, position: str = "position") -> DataFrame:
     """(left position, right position): each left row, in order, takes the first right row not yet taken under the first of its keys that has one.
 
-    ``left_keys`` and ``right_keys`` are arrays, the left one in order of
-    preference. A pair is final once the right row is the left row's best choice
-    and no earlier undecided left row could take it, so rounds settle many at once.
+    ``left_keys`` and ``right_keys`` are arrays, the left one in order of preference.
+    Left rows with the same keys are one kind, and only kinds meet right rows, so equal
+    rows on both sides are never stored in pairs. In a round the i-th open row of a kind
+    asks for the i-th open right row of that kind's order. It gets it if no earlier row
+    of another kind could take it, and all of its kind before it got theirs; the first
+    open row always does.
     """
-    a = left.select(F.col(position).alias("l"), F.posexplode(left_keys).alias("choice", "key"))
+    rows = checkpoint(left.select(F.col(position).alias("l"), F.col(left_keys).alias("keys__")))
+    kinds = rows.select("keys__").distinct().select("keys__", F.sha2(F.to_json("keys__"), 256).alias("kind"))
+    rows = checkpoint(rows.join(kinds, "keys__").select("l", "kind"))
+    a = kinds.select("kind", F.posexplode("keys__").alias("choice", "key"))
     b = right.select(F.col(position).alias("r"), F.explode(right_keys).alias("key"))
-    todo = checkpoint(a.join(b, "key").groupBy("l", "r").agg(F.min("choice").alias("choice")))
-    found = []
-    while not todo.isEmpty():
-        best = Window.partitionBy("l").orderBy("choice", "r")
-        ranked = todo.withColumns({"n": F.row_number().over(best), "first": F.min("l").over(Window.partitionBy("r"))})
-        final = checkpoint(ranked.filter("n = 1 and first = l").select("l", "r"))
+    wants = checkpoint(a.join(b, "key").groupBy("kind", "r").agg(F.min("choice").alias("choice")))
+    rows, found = checkpoint(rows.join(wants.select("kind").distinct(), "kind", "left_semi")), []
+    while not rows.isEmpty():
+        asking = rows.withColumn("i", F.row_number().over(Window.partitionBy("kind").orderBy("l")))
+        offered = wants.withColumn("i", F.row_number().over(Window.partitionBy("kind").orderBy("choice", "r")))
+        # Of the kinds that could take a right row the two whose first open rows come first: one of them is another kind.
+        first = wants.join(rows.groupBy("kind").agg(F.min("l").alias("least")), "kind")
+        two = top_k(first, ["r"], ["least", "kind"], 2, "place__").groupBy("r").agg(F.min_by("kind", "place__").alias("kind1"), F.min_by("least", "place__").alias("least1"), F.max(F.when(F.col("place__") == 2, F.col("least"))).alias("least2"))
+        tried = asking.join(offered.select("kind", "i", "r"), ["kind", "i"]).join(two, "r")
+        other = F.when(F.col("kind1") == F.col("kind"), F.col("least2")).otherwise(F.col("least1"))
+        before = Window.partitionBy("kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        tried = tried.withColumn("free", F.coalesce(other > F.col("l"), F.lit(True)))
+        final = checkpoint(tried.withColumn("all__", F.min(F.col("free").cast("int")).over(before)).filter("all__ = 1").select("l", "r"))
         found.append(final)
-        todo = checkpoint(todo.join(final.select("l"), "l", "left_anti").join(final.select("r"), "r", "left_anti"))
-    return union_all(*found) if found else todo.select("l", "r")
+        wants = checkpoint(wants.join(final.select("r"), "r", "left_anti"))
+        rows = checkpoint(rows.join(final.select("l"), "l", "left_anti").join(wants.select("kind").distinct(), "kind", "left_semi"))
+    return union_all(*found) if found else rows.select("l", F.lit(None).cast(right.schema[position].dataType).alias("r"))
 
 
 def full_one_to_one(left: DataFrame, right: DataFrame, left_keys: str, right_keys: str, position: str = "position") -> DataFrame:

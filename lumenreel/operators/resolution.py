@@ -13,6 +13,7 @@ from lumenreel.functions import text as T
 from lumenreel.functions.titles import canonical_title
 from lumenreel.operators.predicates import first_present, present
 from lumenreel.operators.relational import union_all
+from lumenreel.session import checkpoint
 
 EXACT_MIN, LOOSE_MIN = 90, 60
 
@@ -97,14 +98,19 @@ def match(probes: DataFrame, movies: DataFrame) -> DataFrame:
         hit = first(left.filter(F.col(key).isNotNull()).select("probe_id", key).join(movies.select("movie_id", key), key), key)
         stages.append(hit)
         left = left.join(hit, "probe_id", "left_anti")
-    # A stored address may go on behind the probe's; case does not count. Each stored one is offered under all its beginnings.
+    # A stored address may go on behind the probe's; case does not count. It is offered under those of its beginnings that are as long as an asked one.
+    left = checkpoint(left)
     asked = left.select("probe_id", F.explode("links").alias("link")).filter("link <> ''").withColumn("link", F.lower("link"))
-    stored = movies.select("movie_id", F.explode("links").alias("whole")).withColumn("link", F.explode(F.expr("transform(sequence(1, greatest(length(whole), 1)), n -> lower(substr(whole, 1, n)))")))
+    sizes = asked.agg(F.collect_set(F.length("link")).alias("sizes")).scalar()
+    whole = movies.select("movie_id", F.explode("links").alias("whole")).withColumns({"whole": F.lower("whole"), "sizes": sizes})
+    begins = F.transform(F.filter("sizes", lambda n: n <= F.length("whole")), lambda n: F.substring(F.col("whole"), F.lit(1), n))
+    stored = whole.select("movie_id", F.explode(begins).alias("link"))
     link = first(asked.join(stored, "link"), "link")
+    link = checkpoint(link)
     stages.append(link)
-    left = left.join(link, "probe_id", "left_anti")
+    left = checkpoint(left.join(link, "probe_id", "left_anti"))
     for loose, least, via in ((False, EXACT_MIN, "title"), (True, LOOSE_MIN, "loose_title")):
-        hit = best_matches(left, movies, candidates(left, movies, loose), least).select("probe_id", "movie_id").withColumn("via", F.lit(via))
+        hit = checkpoint(best_matches(left, movies, candidates(left, movies, loose), least).select("probe_id", "movie_id").withColumn("via", F.lit(via)))
         stages.append(hit)
         left = left.join(hit, "probe_id", "left_anti")
     return union_all(*stages)

@@ -43,6 +43,20 @@ def test_one_to_one(spark, seed):
     assert {tuple(r) for r in R.full_one_to_one(a, b, "keys", "keys").collect()} == want
 
 
+def test_one_to_one_of_equal_rows(spark):
+    """Many rows of one key on both sides are settled together, and a rare kind among them takes its turn."""
+    left = [(i, ["k"] if i % 50 else ["z", "k"]) for i in range(400)]
+    right = [(i, ["k"] if i % 97 else ["k", "z"]) for i in range(390)]
+    used, want = set(), set()
+    for i, keys in left:
+        found = next((j for k in keys for j, ks in right if j not in used and k in ks), None)
+        if found is not None:
+            want.add((i, found))
+            used.add(found)
+    a, b = (spark.createDataFrame(x, "position int, keys array<string>") for x in (left, right))
+    assert {tuple(r) for r in R.join_one_to_one(a, b, "keys", "keys").collect()} == want
+
+
 def test_snapshots(spark):
     stored = spark.createDataFrame([("a", 1, "CANCELED"), ("b", 2, "SCHEDULED")], "k string, v int, status string")
     new = spark.createDataFrame([("a", 5), ("c", 6)], "k string, v int")
