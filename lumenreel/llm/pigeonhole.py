@@ -33,6 +33,8 @@ from lumenreel.llm.common import Workspace, mix64, table
 from lumenreel.llm.components import components
 
 COSINE, BLOCKS, SEED, PIECE = 0.95, 4, 2, 4096
+#: Sums of matrix products may differ by their shapes; what is nearer than this to a bound is summed anew in a fixed order.
+EDGE = 1e-9
 #: A vector visits its own cell and the four neighbours after it, in the order of rows of cells.
 VISITS, OFFSET = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)), 1 << 12
 
@@ -42,6 +44,14 @@ def rotation(dim: int, seed: int = SEED) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def in_order(terms) -> np.ndarray:
+    """Sums in the order of the terms."""
+    total = 0.0
+    for t in terms:
+        total = total + t
+    return total
+
+
 class Subspaces:
     """Blocks of the rotated coordinates of vectors of one length, with their budgets and grids."""
 
@@ -53,7 +63,9 @@ class Subspaces:
         self.width = np.maximum(np.sqrt(self.budgets) * (1 + 1e-6), 2 / OFFSET)
 
     def rotate(self, x: np.ndarray) -> np.ndarray:
-        return (x / np.linalg.norm(x, axis=1)[:, None]) @ self.q
+        """Rotated unit vectors; coordinates are summed in order, so that a vector's are the same among any others."""
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        return in_order(unit[:, t, None] * self.q[t] for t in range(x.shape[1]))
 
     def cells(self, y: np.ndarray, b: int) -> np.ndarray:
         some = y[:, self.edges[b] : min(self.edges[b] + 2, self.edges[b + 1])]
@@ -61,17 +73,18 @@ class Subspaces:
         return np.pad(c, ((0, 0), (0, 2 - c.shape[1])))
 
 
-
-
 def cell_number(cells: np.ndarray, b: int) -> np.ndarray:
     return (b << 26) + (cells[:, 0] + OFFSET) * (2 * OFFSET) + cells[:, 1] + OFFSET
 
 
 def usable(x: list[float] | None) -> np.ndarray | None:
+    """A vector scaled by a power of two, which changes no cosine, so that its length neither vanishes nor overflows."""
     if x is None or not len(x) or any(v is None for v in x):
         return None
     a = np.array(x, float)
-    return a if np.isfinite(a).all() and a.any() and np.isfinite(n := np.linalg.norm(a)) and n > 0 else None
+    if not (np.isfinite(a).all() and a.any()):
+        return None
+    return np.ldexp(a, -int(np.frexp(np.abs(a).max())[1]))
 
 
 def vectors(rows: DataFrame) -> DataFrame:
@@ -95,25 +108,41 @@ def links_in(own: tuple, met: tuple, b: int, sub: Subspaces, cosine: float, same
     label, added = np.arange(len(all_ids)), np.zeros(len(all_ids), np.int64)
     norms, norms2 = np.linalg.norm(x, axis=1), np.linalg.norm(x2, axis=1)
 
-    def apart(rows, k):
+    def within(rows, k):
+        """Whether pairs keep a block's budget, the same whatever they are looked at with."""
         lo, hi = sub.edges[k], sub.edges[k + 1]
         a, c = y[rows, lo:hi], y2[:, lo:hi]
-        return (a**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * (a @ c.T)
+        apart = (a**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * (a @ c.T)
+        near = apart <= sub.budgets[k]
+        i, j = np.nonzero(np.abs(apart - sub.budgets[k]) < EDGE)
+        if len(i):
+            near[i, j] = in_order((a[i, t] - c[j, t]) ** 2 for t in range(hi - lo)) <= sub.budgets[k]
+        return near
+
+    def linked(rows, i, j):
+        """Whether pairs reach the cosine."""
+        least, found, own = cosine * norms[rows][i] * norms2[j], np.zeros(len(i), bool), x[rows]
+        product = own @ x2.T if len(i) > 4 * step else None
+        for at in range(0, len(i), 1 << 16):
+            p, q, bound = i[at : at + (1 << 16)], j[at : at + (1 << 16)], least[at : at + (1 << 16)]
+            dots = product[p, q] if product is not None else (own[p] * x2[q]).sum(axis=1)
+            ok, edge = dots >= bound, np.flatnonzero(np.abs(dots - bound) < EDGE * bound)
+            if len(edge):
+                ok[edge] = in_order(own[p[edge], t] * x2[q[edge], t] for t in range(x.shape[1])) >= bound[edge]
+            found[at : at + (1 << 16)] = ok
+        return found
 
     for at in range(0, len(ids), step):
         rows = slice(at, at + step)
-        near = apart(rows, b) <= sub.budgets[b]
+        near = within(rows, b)
         if same:
             near &= np.arange(len(ids2))[None, :] > np.arange(len(ids))[rows, None]
         if not near.any():
             continue
         for k in range(b):
-            near &= apart(rows, k) > sub.budgets[k]
+            near &= ~within(rows, k)
         i, j = np.nonzero(near)
-        if len(i) > 4 * step:
-            ok = (x[rows] @ x2.T)[i, j] >= cosine * norms[rows][i] * norms2[j]
-        else:
-            ok = (x[rows][i] * x2[j]).sum(axis=1) >= cosine * norms[rows][i] * norms2[j]
+        ok = linked(rows, i, j)
         i, j = i[ok] + at, j[ok]
         if not len(i):
             continue

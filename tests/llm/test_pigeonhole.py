@@ -59,3 +59,22 @@ def test_edges(spark):
     assert run(spark, rows) == brute(rows)
     assert run(spark, []) == []
     assert run(spark, [(1, same), (1, same), (2, [1.0, 2.0, 3.0, 4.5])])[0][2] == 1
+
+
+def test_lengths_beyond_the_range_of_squares(spark):
+    """Only null, zero and non-finite vectors link with nothing."""
+    base = np.random.default_rng(1).normal(size=(4, 8))
+    rows = [(10 * i + k, (base[i] * scale).tolist()) for i in range(4) for k, scale in enumerate((1.0, 1e-170, 1e160, 3.0))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = pigeonhole.near_duplicates(spark, df, Workspace(spark, "t")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted((10 * i + k, 3, 10 * i) for i in range(4) for k in range(4))
+
+
+def test_decisions_do_not_depend_on_company():
+    """Pairs on the edge of a budget or of the cosine are decided alike in pieces of any size."""
+    rng = np.random.default_rng(2)
+    sub = pigeonhole.Subspaces(16, 0.95, 4)
+    x = rng.normal(size=(600, 16))
+    y = sub.rotate(x)
+    for rows in (slice(0, 1), slice(3, 40), slice(100, 333)):
+        assert (sub.rotate(x[rows]) == y[rows]).all()
