@@ -63,9 +63,14 @@ class Subspaces:
         self.width = np.maximum(np.sqrt(self.budgets) * (1 + 1e-6), 2 / OFFSET)
 
     def rotate(self, x: np.ndarray) -> np.ndarray:
-        """Rotated unit vectors; coordinates are summed in order, so that a vector's are the same among any others."""
-        unit = x / np.linalg.norm(x, axis=1)[:, None]
-        return in_order(unit[:, t, None] * self.q[t] for t in range(x.shape[1]))
+        return (x / np.linalg.norm(x, axis=1)[:, None]) @ self.q
+
+    def apart(self, x: np.ndarray, x2: np.ndarray, k: int) -> np.ndarray:
+        """Squared distances of vectors row by row in one block, summed in order: the same among any others."""
+        lo, hi = self.edges[k], self.edges[k + 1]
+        unit, unit2 = x / np.linalg.norm(x, axis=1)[:, None], x2 / np.linalg.norm(x2, axis=1)[:, None]
+        turned = in_order((unit[:, t, None] - unit2[:, t, None]) * self.q[t, lo:hi] for t in range(x.shape[1]))
+        return in_order(turned[:, t] ** 2 for t in range(hi - lo))
 
     def cells(self, y: np.ndarray, b: int) -> np.ndarray:
         some = y[:, self.edges[b] : min(self.edges[b] + 2, self.edges[b + 1])]
@@ -108,15 +113,17 @@ def links_in(own: tuple, met: tuple, b: int, sub: Subspaces, cosine: float, same
     label, added = np.arange(len(all_ids)), np.zeros(len(all_ids), np.int64)
     norms, norms2 = np.linalg.norm(x, axis=1), np.linalg.norm(x2, axis=1)
 
-    def within(rows, k):
-        """Whether pairs keep a block's budget, the same whatever they are looked at with."""
+    def table(rows, k):
         lo, hi = sub.edges[k], sub.edges[k + 1]
         a, c = y[rows, lo:hi], y2[:, lo:hi]
-        apart = (a**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * (a @ c.T)
-        near = apart <= sub.budgets[k]
-        i, j = np.nonzero(np.abs(apart - sub.budgets[k]) < EDGE)
-        if len(i):
-            near[i, j] = in_order((a[i, t] - c[j, t]) ** 2 for t in range(hi - lo)) <= sub.budgets[k]
+        return (a**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * (a @ c.T)
+
+    def within(rows, k, i, j, apart):
+        """Whether pairs keep a block's budget, the same whatever they are looked at with."""
+        near, own = apart <= sub.budgets[k], x[rows]
+        edge = np.flatnonzero(np.abs(apart - sub.budgets[k]) < EDGE)
+        for some in np.array_split(edge, max(1, len(edge) >> 12)) if len(edge) else ():
+            near[some] = sub.apart(own[i[some]], x2[j[some]], k) <= sub.budgets[k]
         return near
 
     def linked(rows, i, j):
@@ -134,14 +141,20 @@ def links_in(own: tuple, met: tuple, b: int, sub: Subspaces, cosine: float, same
 
     for at in range(0, len(ids), step):
         rows = slice(at, at + step)
-        near = within(rows, b)
+        apart = table(rows, b)
+        near = apart <= sub.budgets[b] + EDGE
         if same:
             near &= np.arange(len(ids2))[None, :] > np.arange(len(ids))[rows, None]
-        if not near.any():
-            continue
-        for k in range(b):
-            near &= ~within(rows, k)
         i, j = np.nonzero(near)
+        keep = within(rows, b, i, j, apart[i, j])
+        i, j = i[keep], j[keep]
+        for k in range(b):
+            if not len(i):
+                break
+            keep = ~within(rows, k, i, j, table(rows, k)[i, j])
+            i, j = i[keep], j[keep]
+        if not len(i):
+            continue
         ok = linked(rows, i, j)
         i, j = i[ok] + at, j[ok]
         if not len(i):

@@ -71,10 +71,14 @@ def test_lengths_beyond_the_range_of_squares(spark):
 
 
 def test_decisions_do_not_depend_on_company():
-    """Pairs on the edge of a budget or of the cosine are decided alike in pieces of any size."""
+    """Distances by which pairs on an edge are decided are the same in pieces of any size, and from either side."""
     rng = np.random.default_rng(2)
     sub = pigeonhole.Subspaces(16, 0.95, 4)
-    x = rng.normal(size=(600, 16))
-    y = sub.rotate(x)
-    for rows in (slice(0, 1), slice(3, 40), slice(100, 333)):
-        assert (sub.rotate(x[rows]) == y[rows]).all()
+    x, x2 = rng.normal(size=(600, 16)), rng.normal(size=(600, 16))
+    for k in range(4):
+        whole = sub.apart(x, x2, k)
+        assert (whole == sub.apart(x2, x, k)).all()
+        for rows in (slice(0, 1), slice(3, 40), slice(100, 333)):
+            assert (sub.apart(x[rows], x2[rows], k) == whole[rows]).all()
+        lo, hi = sub.edges[k], sub.edges[k + 1]
+        assert np.allclose(whole, ((sub.rotate(x)[:, lo:hi] - sub.rotate(x2)[:, lo:hi]) ** 2).sum(axis=1))
