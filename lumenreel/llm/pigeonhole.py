@@ -2,17 +2,19 @@
 
 Unit vectors within a squared distance d are rotated by one random orthogonal
 matrix and split into blocks of coordinates. In some block two such vectors are
-within that block's share of d. Each block is a range join of its own: cells of
-a grid over its first two coordinates as wide as the block's radius, a vector
-being sent to its own cell and to the neighbours on one side, so every close
-pair meets in exactly one cell. A pair counts in the first block whose budget it
-keeps, which makes the union of candidates disjoint, and is then verified by its
-cosine in double precision.
-
-The number of cells is bounded by the grid's shape (coordinates of unit vectors),
-never by the data; a cell with many vectors is split into pieces that meet in
-pairs. Tasks send on counts by vector and a spanning forest of the links, not
-the links. Equal vectors fold into one first.
+within that block's share of d. Each block is a range join of its own: vectors
+are sorted by cells of a grid over its first coordinates and cut into pieces, and
+two pieces meet if the boxes around their block's coordinates are within the
+block's radius, so every close pair meets exactly once. A pair counts in the
+first block whose budget it keeps, which makes the union of candidates disjoint,
+and is then verified by its cosine in double precision.
+
+Vectors are written once, to files in the shared folder; a block sorts its own
+coordinates only, and a meeting reads the two pieces' coordinates, and vectors
+only of rows that have a candidate. Blocks follow one another and their files go
+with them, so disk grows with the input whatever the number of meetings. Tasks
+send on counts by vector and a spanning forest of the links, not the links. Equal
+vectors fold into one first, by a digest of 128 bits.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing and are kept; vectors of different length never
@@ -23,20 +25,25 @@ component null; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
+import os
+import uuid
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import Workspace, mix64, table
+from lumenreel.llm.common import Workspace, local_path, n_shards, table, write_file
 from lumenreel.llm.components import components
 
-COSINE, BLOCKS, SEED, PIECE = 0.95, 4, 2, 4096
+COSINE, BLOCKS, SEED, PIECE = 0.95, 4, 2, 1024
 #: Sums of matrix products may differ by their shapes; what is nearer than this to a bound is summed anew in a fixed order.
 EDGE = 1e-9
-#: A vector visits its own cell and the four neighbours after it, in the order of rows of cells.
-VISITS, OFFSET = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)), 1 << 12
+#: Single precision decides only what is further from a budget than this.
+ROUGH = 1e-5
+#: Bytes of vectors held before they are written, and rows that are read together.
+HELD, ROWS = 16 << 20, 1 << 14
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -60,7 +67,6 @@ class Subspaces:
         self.edges = np.linspace(0, dim, many + 1).astype(int)
         # Squared distance of unit vectors at the threshold, shared by the number of coordinates.
         self.budgets = (2 - 2 * cosine) * np.diff(self.edges) / dim * (1 + 1e-9)
-        self.width = np.maximum(np.sqrt(self.budgets) * (1 + 1e-6), 2 / OFFSET)
 
     def rotate(self, x: np.ndarray) -> np.ndarray:
         return (x / np.linalg.norm(x, axis=1)[:, None]) @ self.q
@@ -72,36 +78,178 @@ class Subspaces:
         turned = in_order((unit[:, t, None] - unit2[:, t, None]) * self.q[t, lo:hi] for t in range(x.shape[1]))
         return in_order(turned[:, t] ** 2 for t in range(hi - lo))
 
-    def cells(self, y: np.ndarray, b: int) -> np.ndarray:
-        some = y[:, self.edges[b] : min(self.edges[b] + 2, self.edges[b + 1])]
-        c = np.floor(some / self.width[b]).astype(np.int64)
-        return np.pad(c, ((0, 0), (0, 2 - c.shape[1])))
-
-
-def cell_number(cells: np.ndarray, b: int) -> np.ndarray:
-    return (b << 26) + (cells[:, 0] + OFFSET) * (2 * OFFSET) + cells[:, 1] + OFFSET
+    def cells(self, y: np.ndarray, pieces: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cell of each row of a block's coordinates in a grid of about as many cells as there are pieces, and the next coordinate."""
+        axes = min(y.shape[1], 1 if pieces < 8 else 2 if pieces < 64 else 3 if pieces < 2000 else 4)
+        slabs = max(1, int(np.ceil(pieces ** (1 / axes))))
+        # A coordinate of a unit vector has the deviation 1 / sqrt(dim), so slabs by a logistic curve hold about equally many.
+        share = 1 / (1 + np.exp(-1.702 * y[:, :axes] * np.sqrt(self.q.shape[0])))
+        slab = np.minimum((share * slabs).astype(np.int64), slabs - 1)
+        return slab @ slabs ** np.arange(axes)[::-1], y[:, min(axes, y.shape[1] - 1)]
 
 
-def usable(x: list[float] | None) -> np.ndarray | None:
-    """A vector scaled by a power of two, which changes no cosine, so that its length neither vanishes nor overflows."""
-    if x is None or not len(x) or any(v is None for v in x):
-        return None
-    a = np.array(x, float)
-    if not (np.isfinite(a).all() and a.any()):
-        return None
-    return np.ldexp(a, -int(np.frexp(np.abs(a).max())[1]))
+def vectors(rows: DataFrame, whole: bool) -> DataFrame:
+    """Of each usable vector its id and digest (h, h2), with ``whole`` also dim and components as bytes, single where that is exact.
 
-
-def vectors(rows: DataFrame) -> DataFrame:
-    """One row for each distinct vector: vec_id (the smallest), n (ids that have it), v (its components as bytes), dim."""
+    Vectors are scaled by a power of two, which changes no cosine, so that their lengths neither vanish nor overflow.
+    """
 
     def read(batches):
         for batch in batches:
-            ids, vs = batch.column(0).to_pylist(), [usable(x) for x in batch.column(1).to_pylist()]
-            keep = [i for i, v in enumerate(vs) if v is not None and ids[i] is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([(vs[i] + 0.0).tobytes() for i in keep], pa.binary())], names=["vec_id", "v"])
+            ids, lists = batch.column(0), batch.column(1)
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)  # null components: NaN
+            lengths = np.diff(offsets)
+            usable = np.asarray(ids.is_valid()) & np.asarray(lists.is_valid()) & (lengths > 0)
+            number = ids.fill_null(0).to_numpy()
+            for d in np.unique(lengths[usable]).tolist():
+                at = np.flatnonzero(usable & (lengths == d))
+                x = values[offsets[at][:, None] + np.arange(d)].astype(float)
+                ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+                at, x = at[ok], x[ok]
+                x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None]) + 0.0
+                h = np.frombuffer(b"".join(hashlib.blake2b(v, digest_size=16).digest() for v in x), np.int64).reshape(-1, 2)
+                columns = [pa.array(number[at]), pa.array(h[:, 0]), pa.array(h[:, 1])]
+                if whole:
+                    small = x.astype(np.float32)
+                    single = (small == x).all(axis=1).tolist()
+                    columns += [pa.array([d] * len(at), pa.int32()), pa.array([(s if one else v).tobytes() for s, v, one in zip(small, x, single, strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "h", "h2", "dim", "v"][: len(columns)])
+
+    return rows.select("vec_id", F.col("embedding").cast("array<double>").alias("e")).mapInArrow(read, "vec_id long, h long, h2 long" + ", dim int, v binary" * whole)
+
+
+def keep_vectors(unique: DataFrame, folder: str) -> DataFrame:
+    """Write ``unique(h, h2, rep, n, dim, v)`` to files of one length and precision each; returns h, h2, rep, n, dim and loc (file and row)."""
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        first, files, held, size = TaskContext.get().partitionId() << 16, 0, {}, 0
+
+        def flush():
+            nonlocal files
+            for (d, width), groups in sorted(held.items()):
+                v, *columns = (b"".join(c) if k == 0 else np.concatenate(c) for k, c in enumerate(zip(*groups, strict=True)))
+                file, many = first + files, len(columns[0])
+                files += 1
+                write_file(f"{folder}/{file}", np.array([d, width, many], np.int64).tobytes() + columns[2].tobytes() + columns[3].tobytes() + v)
+                loc = (file << 24) + np.arange(many)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([d] * many, pa.int32()), pa.array(loc)], names=["h", "h2", "rep", "n", "dim", "loc"])
+            held.clear()
+
+        for batch in batches:
+            *columns, dims, v = batch.columns
+            columns, dims, v = [c.to_numpy() for c in columns], dims.to_numpy(), v.to_pylist()
+            widths = np.fromiter(map(len, v), np.int64, len(v)) // dims
+            for d, width in sorted(set(zip(dims.tolist(), widths.tolist(), strict=True))):
+                at = np.flatnonzero((dims == d) & (widths == width))
+                held.setdefault((d, width), []).append((b"".join(v[i] for i in at), *(c[at] for c in columns)))
+            size += sum(map(len, v))
+            if size >= HELD:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    return unique.select("h", "h2", "rep", "n", "dim", "v").mapInArrow(write, "h long, h2 long, rep long, n long, dim int, loc long")
+
+
+class Kept:
+    """Vectors in the files of ``keep_vectors``."""
+
+    def __init__(self, folder: str):
+        self.folder, self.opened = local_path(folder), {}
+
+    def file(self, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """rep, n and components of a file's rows, mapped into memory."""
+        if number not in self.opened:
+            if len(self.opened) > 64:
+                self.opened.clear()
+            b = np.memmap(f"{self.folder}/{number}", np.uint8, "r")
+            d, width, many = b[:24].view(np.int64).tolist()
+            rep, n, v = np.split(b[24:], [8 * many, 16 * many])
+            self.opened[number] = rep.view(np.int64), n.view(np.int64), v.view(f"f{width}").reshape(many, d)
+        return self.opened[number]
+
+    def rows(self, loc: np.ndarray, dim: int) -> np.ndarray:
+        files, out = loc >> 24, np.zeros((len(loc), dim))
+        for f in np.unique(files).tolist():
+            at = np.flatnonzero(files == f)
+            out[at] = self.file(f)[2][loc[at] & 0xFFFFFF]
+        return out
 
-    return rows.select("vec_id", F.col("embedding").cast("array<double>").alias("e")).mapInArrow(read, "vec_id long, v binary").distinct()
+
+class Pieces:
+    """Pieces of one block, as its layout wrote them: boxes of all, coordinates when asked for."""
+
+    def __init__(self, listed: str, folder: str):
+        import pyarrow.parquet as pq
+
+        of = pq.read_table(local_path(listed)).sort_by([("dim", "ascending"), ("file", "ascending"), ("start", "ascending")])
+        self.folder, self.opened = local_path(folder), {}
+        self.dim, self.file, self.start, self.many = (of[c].to_numpy() for c in ("dim", "file", "start", "many"))
+        self.box = [of[c].to_pylist() for c in ("low", "high")]
+        self.place = {k: i for i, k in enumerate(zip(self.file.tolist(), self.start.tolist(), strict=True))}
+        self.boxes: dict[int, tuple] = {}
+
+    def of_dim(self, d: int) -> tuple:
+        """First place of a length, and the boxes of its pieces."""
+        if d not in self.boxes:
+            at = np.flatnonzero(self.dim == d)
+            self.boxes[d] = int(at[0]), *(np.frombuffer(b"".join(side[i] for i in at), np.float32).reshape(len(at), -1) for side in self.box)
+        return self.boxes[d]
+
+    def read(self, i: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """A piece's coordinates; its loc, rep and n."""
+        f, many = int(self.file[i]), int(self.many[i])
+        if f not in self.opened:
+            if len(self.opened) > 256:
+                self.close()
+            self.opened[f] = os.open(f"{self.folder}/{f}", os.O_RDONLY)
+        raw = os.pread(self.opened[f], many * (24 + 4 * width), int(self.start[i]))
+        numbers = np.frombuffer(raw[4 * many * width :], np.int64).reshape(3, many)
+        return np.frombuffer(raw, np.float32, many * width).reshape(many, width), numbers
+
+    def close(self) -> None:
+        for fd in self.opened.values():
+            os.close(fd)
+        self.opened.clear()
+
+    def partners(self, i: int, budget: float) -> np.ndarray:
+        """Places of the pieces that this one is to meet, each pair of pieces once and evenly dealt, where boxes are near enough."""
+        first, low, high = self.of_dim(int(self.dim[i]))
+        me, many = i - first, len(low)
+        ahead = (np.arange(many) - me) % many * 2
+        turn = (ahead < many) | ((ahead == many) & (np.arange(many) > me))
+        at = np.flatnonzero(turn)
+        return first + at[away(low[at], high[at], low[me], high[me]) <= budget + ROUGH]
+
+
+def away(low: np.ndarray, high: np.ndarray, low2: np.ndarray, high2: np.ndarray) -> np.ndarray:
+    """Squared distances of boxes, or points, from one box."""
+    return (np.maximum(np.maximum(low - high2, low2 - high), 0) ** 2).sum(axis=1)
+
+
+def near_rows(y: np.ndarray, y2: np.ndarray, budget: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of either piece that may be within the budget of a row of the other, in single precision with room for its errors."""
+    rows, rows2 = np.arange(len(y)), np.arange(len(y2))
+    if not same:
+        rows = np.flatnonzero(away(y, y, y2.min(axis=0), y2.max(axis=0)) <= budget + ROUGH)
+        rows2 = np.flatnonzero(away(y2, y2, y.min(axis=0), y.max(axis=0)) <= budget + ROUGH)
+        if not len(rows) or not len(rows2):
+            return rows[:0], rows2[:0]
+    a, c = y[rows], y2[rows2]
+    a = np.concatenate([-2 * a, (a**2).sum(axis=1)[:, None], np.ones((len(a), 1), np.float32)], axis=1)
+    c = np.concatenate([c, np.ones((len(c), 1), np.float32), (c**2).sum(axis=1)[:, None]], axis=1).T
+    hit, hit2 = np.zeros(len(rows), bool), np.zeros(len(rows2), bool)
+    for at in range(0, len(rows), 256):
+        apart = a[at : at + 256] @ c
+        if same:
+            apart[np.arange(len(apart)), np.arange(at, at + len(apart))] = 9
+        if apart.min() <= budget + ROUGH:
+            near = apart <= budget + ROUGH
+            hit[at : at + 256] = near.any(axis=1)
+            hit2 |= near.any(axis=0)
+    return rows[hit], rows2[hit2]
 
 
 def links_in(own: tuple, met: tuple, b: int, sub: Subspaces, cosine: float, same: bool, step: int = 256):
@@ -178,101 +326,136 @@ def links_in(own: tuple, met: tuple, b: int, sub: Subspaces, cosine: float, same
     return all_ids[hit], added[hit], all_ids[label[hit]]
 
 
-def near_duplicates(spark: SparkSession, rows: DataFrame, ws: Workspace, cosine: float = COSINE, blocks: int = BLOCKS, piece: int = PIECE) -> DataFrame:
-    """vec_id, n_links and component_id of every row of ``rows(vec_id, embedding)``."""
-    rows = rows.select("vec_id", "embedding")
-    ids = ws.save(vectors(rows), "ids")
-    unique = ws.save(ids.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n")), "vectors")
-
-    def prepared(batch) -> list[tuple]:
-        """By length: places, rotated vectors and subspaces."""
-        v = batch.column(0).to_pylist()
-        dims = np.array([len(x) // 8 for x in v], np.int64)
-        out = []
-        for d in np.unique(dims):
-            at = np.flatnonzero(dims == d)
-            x = np.frombuffer(b"".join([v[i] for i in at]), float).reshape(len(at), d)
-            sub = Subspaces(int(d), cosine, blocks)
-            out.append((int(d), at, sub, sub.rotate(x)))
-        return out
+def lay_out(manifest: DataFrame, ws: Workspace, b: int, sizes: dict[int, int], cosine: float, blocks: int, piece: int) -> DataFrame:
+    """Pieces of block ``b``: its coordinates sorted by cell, in files; dim, file, start, many and the box of each."""
+    kept_in, folder = ws.path("kept"), ws.mkdir(f"block{b}")
 
-    def count(batches):
+    def coordinates(batches):
+        kept = Kept(kept_in)
         for batch in batches:
-            for d, at, sub, y in prepared(batch):
-                for b in range(len(sub.budgets)):
-                    own = sub.cells(y, b)
-                    for k, v in enumerate(VISITS):
-                        cell, n = np.unique(cell_number(own + v, b), return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([d] * len(cell), pa.int32()), pa.array(cell), pa.array([k > 0] * len(cell)), pa.array(n)], names=["dim", "cell", "visit", "n"])
-
-    # At most blocks x cells of the grid over [-1, 1] for each length, whatever the number of vectors.
-    of = lambda visit: F.sum(F.when(F.col("visit") == visit, F.col("n")).otherwise(0))
-    counts = unique.select("v").mapInArrow(count, "dim int, cell long, visit boolean, n long").groupBy("dim", "cell").agg(of(False).alias("own"), of(True).alias("met"))
-    pieces = {(r.dim, r.cell): (-(-r.own // piece), -(-r.met // piece)) for r in counts.filter("own > 0 and own + met > 1").collect()}
-
-    def send(batches):
-        """Every vector to the meetings of its piece: owner pieces of a cell meet each other and the visitor pieces (numbered after them)."""
+            for file in batch.column(0).to_pylist():
+                rep, n, v = kept.file(file)
+                d = v.shape[1]
+                sub = Subspaces(d, cosine, blocks)
+                for at in range(0, len(rep) if b < len(sub.budgets) else 0, ROWS):
+                    y = sub.rotate(v[at : at + ROWS].astype(float))[:, sub.edges[b] : sub.edges[b + 1]]
+                    cell, tie = sub.cells(y, -(-sizes[d] // piece))
+                    loc, small = (file << 24) + np.arange(at, at + len(y)), np.ascontiguousarray(y, np.float32)
+                    row = 4 * small.shape[1]
+                    y_ = pa.Array.from_buffers(pa.binary(), len(y), [None, pa.py_buffer((row * np.arange(len(y) + 1)).astype(np.int32)), pa.py_buffer(small)])
+                    columns = [pa.array(np.full(len(y), d, np.int32)), pa.array(cell), pa.array(tie), pa.array(loc), pa.array(rep[at : at + ROWS]), pa.array(n[at : at + ROWS]), y_]
+                    yield pa.RecordBatch.from_arrays(columns, names=["dim", "cell", "tie", "loc", "rep", "n", "y"])
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        file, start = TaskContext.get().partitionId(), 0
+        path = f"{local_path(folder)}/{file}"
+        part = f"{path}.{uuid.uuid4().hex}"
+        names = ["dim", "file", "start", "many", "low", "high"]
+        held: list[tuple] = []
+
+        def cut(out, rows: int):
+            """Take that many rows off what is held."""
+            nonlocal held, start
+            d = held[0][0]
+            y, numbers = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held], axis=1)
+            held = [(d, y[rows:], numbers[:, rows:])] if rows < len(y) else []
+            y, numbers = y[:rows], np.ascontiguousarray(numbers[:, :rows])
+            out.write(y.tobytes() + numbers.tobytes())
+            low, high = y.min(axis=0), y.max(axis=0)
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            row = pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((d, file, start, rows, low.tobytes(), high.tobytes()), kinds, strict=True)], names=names)
+            start += y.nbytes + numbers.nbytes
+            return row
+
+        with open(part, "wb") as out:
+            for batch in batches:
+                dims, y = batch.column(0).to_numpy(), batch.column(6).to_pylist()
+                numbers = np.stack([batch.column(k).to_numpy() for k in (3, 4, 5)])
+                edges = [0, *(np.flatnonzero(np.diff(dims)) + 1).tolist(), len(dims)]
+                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                    if lo == hi:
+                        continue
+                    if held and held[0][0] != dims[lo]:
+                        yield cut(out, sum(len(h[1]) for h in held))
+                    held.append((int(dims[lo]), np.frombuffer(b"".join(y[lo:hi]), np.float32).reshape(hi - lo, -1), numbers[:, lo:hi]))
+                    while sum(len(h[1]) for h in held) >= piece:
+                        yield cut(out, piece)
+            if held:
+                yield cut(out, sum(len(h[1]) for h in held))
+        os.replace(part, path)
+
+    by = ["dim", "cell", "tie", "loc"]
+    rows = manifest.mapInArrow(coordinates, "dim int, cell long, tie double, loc long, rep long, n long, y binary")
+    return ws.save(rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(write, "dim int, file long, start long, many long, low binary, high binary"), f"pieces{b}")
+
+
+def meetings(pieces: DataFrame, ws: Workspace, b: int, cosine: float, blocks: int) -> DataFrame:
+    """Of every piece of block ``b`` and those it meets: counts by vector (loc, n), and its id with one of its component's."""
+    listed, folder, kept_in = ws.path(f"pieces{b}"), ws.path(f"block{b}"), ws.path("kept")
+
+    def meet(batches):
+        every, kept, subs = Pieces(listed, folder), Kept(kept_in), {}
+
+        def side(numbers, rows, sub):
+            x = kept.rows(numbers[0, rows], sub.q.shape[0])
+            return numbers[0, rows], numbers[2, rows], x, sub.rotate(x)
+
         for batch in batches:
-            v, ids, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            dealt = mix64(ids.view(np.uint64)) >> np.uint64(8)
-            for d, at, sub, y in prepared(batch):
-                for b in range(len(sub.budgets)):
-                    own = sub.cells(y, b)
-                    for k, visit in enumerate(VISITS):
-                        cells = cell_number(own + visit, b)
-                        order = np.argsort(cells, kind="stable")
-                        found, starts = np.unique(cells[order], return_index=True)
-                        for cell, rows_ in zip(found.tolist(), np.split(at[order], starts[1:]), strict=True):
-                            n_own, n_met = pieces.get((d, cell), (0, 0))
-                            part = dealt[rows_] % np.uint64(max(1, n_met if k else n_own))
-                            for p in np.unique(part).tolist() if n_own else ():
-                                some = rows_[part == p]
-                                x = np.frombuffer(b"".join([v[i] for i in some]), float)
-                                small = x.astype(np.float32)
-                                held = (ids[some].tobytes(), n[some].tobytes(), (small if (small == x).all() else x).tobytes())
-                                if k:
-                                    meets = [(q, n_own + p, True) for q in range(n_own)]
-                                else:
-                                    meets = [(p, q, False) for q in range(p, n_own + n_met)] + [(q, p, True) for q in range(p)]
-                                for q1, q2, right in meets:
-                                    yield (d, cell, q1, q2, right, *held)
-
-    names = ["dim", "cell", "p", "q", "right", "ids", "n", "v"]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
-
-    def batched(batches):
-        rows_: list = []
-        for row in send(batches):
-            rows_.append(row)
-            if len(rows_) == 256:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_, strict=True), kinds, strict=True)], names=names)
-                rows_ = []
-        if rows_:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_, strict=True), kinds, strict=True)], names=names)
-
-    def meet(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        dim, cell, p, q = key
-        sub, b = Subspaces(int(dim), cosine, blocks), int(cell) >> 26
-
-        def side(right):
-            some = pdf[pdf.right == right]
-            i, n = (np.frombuffer(b"".join(some[c]), np.int64) for c in ("ids", "n"))
-            x = [np.frombuffer(v, f"f{len(v) // (len(c) // 8 * dim)}").astype(float) for v, c in zip(some.v, some.ids, strict=True)]
-            x = np.concatenate([*x, np.zeros(0)]).reshape(len(i), dim)
-            return i, n, x, sub.rotate(x)
-
-        left = side(False)
-        ids_, n_, roots_ = links_in(left, left if p == q else side(True), b, sub, cosine, p == q)
-        return pd.DataFrame({"vec_id": ids_, "n": n_, "root": roots_})
-
-    sent = unique.select("v", "vec_id", "n").mapInArrow(batched, "dim int, cell long, p int, q int, right boolean, ids binary, n binary, v binary")
-    found = ws.save(sent.groupBy("dim", "cell", "p", "q").applyInPandas(meet, "vec_id long, n long, root long"), "found")
-    by_vector = found.groupBy("vec_id").agg(F.sum("n").alias("linked")).withColumnRenamed("vec_id", "rep")
+            for file, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                i = every.place[file, start]
+                d = int(every.dim[i])
+                sub = subs.setdefault(d, Subspaces(d, cosine, blocks))
+                budget, width = float(sub.budgets[b]), int(sub.edges[b + 1] - sub.edges[b])
+                y, numbers = every.read(i, width)
+                for j in every.partners(i, budget).tolist():
+                    y2, numbers2 = (y, numbers) if i == j else every.read(j, width)
+                    rows, rows2 = near_rows(y, y2, budget, i == j)
+                    if not len(rows):
+                        continue
+                    left = side(numbers, rows, sub)
+                    loc, n, root = links_in(left, left if i == j else side(numbers2, rows2, sub), b, sub, cosine, i == j)
+                    if not len(loc):
+                        continue
+                    both = np.concatenate([numbers[:2], numbers2[:2]], axis=1)
+                    both = both[:, np.argsort(both[0])]
+                    id_of = lambda x, both=both: both[1, np.searchsorted(both[0], x)]
+                    yield pa.RecordBatch.from_arrays([pa.array(loc), pa.array(n), pa.array(id_of(loc)), pa.array(id_of(root))], names=["loc", "n", "rep", "root"])
+        every.close()
+
+    many = pieces.count()
+    dealt = pieces.select("file", "start").repartition(max(1, min(many, max(n_shards(ws.spark), many // 16))))
+    return ws.save(dealt.mapInArrow(meet, "loc long, n long, rep long, root long"), f"found{b}")
+
+
+def near_duplicates(spark: SparkSession, rows: DataFrame, ws: Workspace, cosine: float = COSINE, blocks: int = BLOCKS, piece: int = PIECE) -> DataFrame:
+    """vec_id, n_links and component_id of every row of ``rows(vec_id, embedding)``."""
+    rows = rows.select("vec_id", "embedding")
+    ids = ws.save(vectors(rows, False).distinct(), "ids")
+    by_key = ids.groupBy("h", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    unique = vectors(rows, True).groupBy("h", "h2").agg(F.first("dim").alias("dim"), F.first("v").alias("v"))
+    keys = ws.save(keep_vectors(unique.join(by_key, ["h", "h2"]), ws.mkdir("kept")), "keys")
+    ws.tidy()
+
+    # One number for each length of vectors reaches the driver.
+    sizes = {r.dim: r["count"] for r in keys.groupBy("dim").count().collect()}
+    files = keys.select(F.shiftright("loc", 24).alias("file")).distinct()
+    manifest = ws.save(files, "manifest").repartition(n_shards(spark), "file")
+    found = spark.createDataFrame([], "loc long, n long, rep long, root long")
+    for b in range(max((min(blocks, d) for d in sizes), default=0)):
+        pieces = lay_out(manifest, ws, b, sizes, cosine, blocks, piece)
+        ws.tidy()
+        found = found.union(meetings(pieces, ws, b, cosine, blocks))
+        ws.drop(f"block{b}", f"pieces{b}")
+    ws.drop("kept")
+
+    by_vector = found.groupBy("loc").agg(F.sum("n").alias("linked"))
     # Ids of equal vectors, and equal ids of different vectors, are connected through the vector's smallest id.
-    reps = ids.join(unique.select("v", F.col("vec_id").alias("rep"), "n"), "v").select("vec_id", "rep", "n")
-    roots = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")).union(reps.select("vec_id", "rep")), ws)
+    reps = ids.join(keys, ["h", "h2"]).select("vec_id", "rep", "n", "loc")
+    roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).union(reps.select("vec_id", "rep")), ws)
     smallest = roots.groupBy("root").agg(F.min("node").alias("component_id"))
-    linked = reps.join(by_vector, "rep", "left").select("vec_id", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links")).groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
+    linked = reps.join(by_vector, "loc", "left").select("vec_id", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links")).groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
     by_id = linked.join(roots.join(smallest, "root").select(F.col("node").alias("vec_id"), "component_id"), "vec_id", "left")
     out = rows.select("vec_id").join(by_id, "vec_id", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))

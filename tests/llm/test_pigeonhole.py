@@ -82,3 +82,24 @@ def test_decisions_do_not_depend_on_company():
             assert (sub.apart(x[rows], x2[rows], k) == whole[rows]).all()
         lo, hi = sub.edges[k], sub.edges[k + 1]
         assert np.allclose(whole, ((sub.rotate(x)[:, lo:hi] - sub.rotate(x2)[:, lo:hi]) ** 2).sum(axis=1))
+
+
+def shuffled(spark) -> int:
+    listed = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(listed.apply(i).totalShuffleWrite() for i in range(listed.size()))
+
+
+def test_vectors_are_not_sent_to_their_meetings(spark):
+    """What is shuffled follows the vectors, not the meetings of their pieces: disk ended the run on large tables."""
+    v = np.random.default_rng(7).normal(size=(6000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(3).localCheckpoint()
+    before = shuffled(spark)
+    assert pigeonhole.near_duplicates(spark, df, Workspace(spark, "t"), piece=512).filter("n_links > 0").count() == 0
+    assert shuffled(spark) - before < 6 * v.nbytes
+
+
+def test_a_shared_id_counts_each_link_once(spark):
+    """Two vectors of one id keep counts of their own."""
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]
+    got = run(spark, [(1, a), (1, b), (2, [1.0, 0.01, 0.0, 0.0]), (3, [0.0, 0.01, 1.0, 0.0])])
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 1, 1), (3, 1, 1)]
