@@ -58,6 +58,11 @@ def count_words(occurrences: DataFrame, at_least: int = 5, times: int = 3) -> Da
     return occurrences.filter(F.char_length("word") >= at_least).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= times)
 
 
+def _joined(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join by sorting: tables of words are small in files and large in memory, and a broadcast holds them whole in the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _halves(word: str, length: Column, kind: str) -> Column:
     """What a single edit may leave in place of a word of ``length`` letters: its first half, or the rest."""
     first = F.shiftright(length, 1)
@@ -86,8 +91,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     long = _keyed(less, rest, size - 1, "removed").withColumnRenamed("word", "b")
     same = _keyed(less, rest, size, "exchanged")
     other = same.withColumnRenamed("word", "b")
-    added = short.join(long, "meets")
-    exchanged = same.withColumnRenamed("word", "a").join(other, "meets").filter(F.col("a") < F.col("b"))
+    added = _joined(short, long, "meets")
+    exchanged = _joined(same.withColumnRenamed("word", "a"), other, "meets").filter(F.col("a") < F.col("b"))
     met = added.select("a", "b").unionByName(exchanged.select("a", "b"))
     return met.filter(F.levenshtein("a", "b", 1) == 1).distinct()
 
@@ -98,7 +103,7 @@ def roots(forms: DataFrame, most: int, ratio: int, ws: Workspace) -> DataFrame:
     longest = max(1, math.ceil(math.log(max(most, 2), ratio)))
     for i in range(math.ceil(math.log2(longest)) if longest > 1 else 0):
         to = up.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        up = ws.save(up.join(to, "root", "left").select("word", F.coalesce("next", "root").alias("root")), f"roots{i}")
+        up = ws.save(_joined(up, to, "root", "left").select("word", F.coalesce("next", "root").alias("root")), f"roots{i}")
     return up
 
 
@@ -109,18 +114,18 @@ def spelling_variants(words: DataFrame, ws: Workspace, ratio: int = 2) -> DataFr
     words = ws.save(words.select("word", "n"), "words")
     pairs = ws.save(near_pairs(words), "pairs")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counted = both.join(words.select(F.col("word").alias("b"), F.col("n").alias("near_n")), "b")
+    counted = _joined(both, words.select(F.col("word").alias("b"), F.col("n").alias("near_n")), "b")
     best = counted.groupBy(F.col("a").alias("word")).agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("fewer"), F.col("b").alias("near"))).alias("best")
     )
     enough = -F.col("best.fewer") >= ratio * F.col("n")
-    near = words.join(best, "word", "left").select(
+    near = _joined(words, best, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(enough, F.col("best.near")).alias("form"), F.when(enough, -F.col("best.fewer")).alias("form_n")
     )
     near = ws.save(near, "near")
     most = near.agg(F.max("n")).first()[0] or 0
     ends = roots(near.filter("form IS NOT NULL"), most, ratio, ws)
-    return near.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return _joined(near, ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def misspelled(runs: DataFrame, every: int = 97) -> DataFrame:

@@ -94,3 +94,20 @@ def test_words_of_documents(spark):
 
 def test_query(spark, sf):
     assert rows_of(QUERIES["op11_anagram_variants"](spark, sf)) == run_exact(ORACLE_SQL["op11_anagram_variants"], sf)
+
+
+def test_words_are_not_broadcast(spark):
+    """No table of words goes through the driver, whatever size its files suggest."""
+    plans = []
+
+    class Recording(Workspace):
+        def save(self, df, name):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().save(df, name)
+
+    ws = Recording(spark, "t")
+    words = spark.createDataFrame([("abcde", 40), ("abcdf", 20), ("abcdfg", 10), ("zzzzz", 3)], "word string, n long")
+    got = spelling.spelling_variants(words, ws)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert {r.word: r.root for r in got.collect()} == {"abcde": "abcde", "abcdf": "abcde", "abcdfg": "abcde", "zzzzz": "zzzzz"}
+    assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
