@@ -27,7 +27,7 @@ from lumenreel.llm.common import trim
 
 END_ID = 2
 #: Bytes of text that are cut and numbered together.
-CHUNK = 2 << 20
+CHUNK = 4 << 20
 _SIMPLE = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)\Z|\n\Z")
 _loaded: dict[str, "Encoder"] = {}
 
@@ -133,7 +133,9 @@ class Encoder:
         starts = cuts(b, ends[:-1][np.diff(ends) > 0])
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(b)).astype(np.int64)), pa.py_buffer(raw)])
         coded = pieces.dictionary_encode()
-        ids = self._lookup(coded.dictionary.to_pylist())
+        _, at, data = coded.dictionary.buffers()
+        at, data = np.frombuffer(at, np.int64)[: len(coded.dictionary) + 1].tolist(), data.to_pybytes() if data is not None else b""
+        ids = self._lookup([data[s:e] for s, e in zip(at[:-1], at[1:], strict=True)])
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         at, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
         which = coded.indices.to_numpy()
@@ -149,17 +151,19 @@ class Encoder:
     def _lookup(self, pieces: list[bytes]) -> list[bytes]:
         if len(self.new) > self.CACHE:
             self.old, self.new = self.new, {}
-        new = self.new
-        return [new[x] if x in new else self._add(x) for x in pieces]
+        found = list(map(self.new.get, pieces))
+        for i in [i for i, x in enumerate(found) if x is None]:
+            found[i] = self._add(pieces[i])
+        return found
 
     def _add(self, piece: bytes) -> bytes:
         found = self.old.get(piece)
         if found is None:
             if _SIMPLE.match(piece):  # one pre-token
-                parts = [piece.decode("latin-1").translate(self.letters)]
+                tokens = self.model.tokenize(piece.decode("latin-1").translate(self.letters))
             else:
-                parts = [p for p, _ in self.pre.pre_tokenize_str(piece.decode("utf-8", "surrogatepass"))]
-            found = array("I", [t.id for p in parts for t in self.model.tokenize(p)]).tobytes()
+                tokens = [t for p, _ in self.pre.pre_tokenize_str(piece.decode("utf-8", "surrogatepass")) for t in self.model.tokenize(p)]
+            found = array("I", [t.id for t in tokens]).tobytes()
         if len(piece) <= 64:
             self.new[piece] = found
         return found

@@ -78,6 +78,8 @@ class Code:
         short = (1 << self.bits) - len(self.table_id)  # only with a single id
         self.table_id = np.pad(self.table_id, (0, short))
         self.table_len = np.pad(self.table_len, (0, short), constant_values=1)
+        #: Id and length of the code that begins with some bits, in one number.
+        self.entries = (self.table_id.astype(np.int64) << 6) | self.table_len
 
     def encode(self, ids: np.ndarray, block: int = BLOCK, blocks: int = 128) -> tuple[bytes, np.ndarray]:
         """Bits, and the bit offset of each block; after every so many blocks bits go on at a whole byte."""
@@ -90,30 +92,40 @@ class Code:
         return b"".join(parts), np.concatenate([*offsets, np.zeros(0, np.int64)])
 
     def _encode(self, ids: np.ndarray, block: int) -> tuple[bytes, np.ndarray]:
-        lens = self.len_of[ids]
+        """As many codes as surely fit are joined to a word of at most 64 bits, and each word goes to two places at most."""
+        lens, group = self.len_of[ids], 64 // self.bits
         ends = np.cumsum(lens)
-        at = ends - lens
-        room = np.uint64(64) - (at & 7).astype(np.uint64) - lens.astype(np.uint64)
-        words = self.code_of[ids] << room
-        size = (int(ends[-1]) + 7) // 8 if len(ids) else 0
-        out, byte = np.zeros(size + 8), at >> 3
-        for k in range((self.bits + 14) // 8):
-            lane = (words >> np.uint64(56 - 8 * k)) & np.uint64(255)
-            out += np.bincount(byte + k, weights=lane, minlength=size + 8)[: size + 8]
-        return out[:size].astype(np.uint8).tobytes(), at[::block]
+        starts = (ends - lens)[::block]
+        if not len(ids):
+            return b"", starts
+        rest = -len(ids) % group
+        codes, sizes = (np.pad(x, (0, rest)).reshape(-1, group).T for x in (self.code_of[ids], lens.astype(np.uint64)))
+        word, many = codes[0], sizes[0]
+        for code, n in zip(codes[1:], sizes[1:], strict=True):
+            word, many = (word << n) | code, many + n
+        at = np.cumsum(many) - many
+        shift, place = at & np.uint64(63), (at >> np.uint64(6)).astype(np.int64)
+        word = word << (np.uint64(64) - many)
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        out = np.zeros(int(place[-1]) + 2, np.uint64)
+        out[place[first]] = np.bitwise_or.reduceat(word >> shift, first)
+        out[place[first] + 1] |= np.bitwise_or.reduceat(word << (np.uint64(63) - shift) << np.uint64(1), first)
+        return out.astype(">u8").tobytes()[: (int(ends[-1]) + 7) // 8], starts
 
     def decode(self, data: bytes, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
-        b = np.frombuffer(data + b"\0" * 8, np.uint8).astype(np.uint64)
-        size = (self.bits + 14) // 8
-        word = sum(b[k : len(b) - 7 + k] << np.uint64(8 * (size - 1 - k)) for k in range(size))
-        out = np.zeros((len(offsets), block), np.uint32)
-        at, top = offsets.astype(np.int64).copy(), 8 * size - self.bits
-        mask, last = np.uint64((1 << self.bits) - 1), len(word) - 1
+        b, size = np.frombuffer(data + b"\0" * 8, np.uint8), (self.bits + 14) // 8
+        word = np.zeros(len(b) - 7, np.uint32 if size <= 4 else np.uint64)
+        for k in range(size):
+            word <<= word.dtype.type(8)
+            word |= b[k : len(b) - 7 + k]
+        out = np.zeros((block, len(offsets)), np.uint32)
+        at, top, mask = offsets.astype(np.int64), 8 * size - self.bits, (1 << self.bits) - 1
         for k in range(min(block, n)):
-            peek = (word[np.minimum(at >> 3, last)] >> (top - (at & 7)).astype(np.uint64)) & mask
-            out[:, k] = self.table_id[peek]
-            at += self.table_len[peek]
-        return out.reshape(-1)[:n]
+            peek = (word.take(at >> 3, mode="clip").astype(np.int64) >> (top - (at & 7))) & mask
+            entry = self.entries[peek]
+            out[k] = entry >> 6
+            at += entry & 63
+        return out.T.reshape(-1)[:n]
 
 
 def file_bytes(code: Code, doc_ids: list[int | None], docs: list[np.ndarray]) -> bytes:

@@ -64,6 +64,27 @@ def test_code_round_trip(n):
     assert (code.decode(bits, offsets, len(ids)) == ids).all()
 
 
+def test_bits_are_the_codes_in_order():
+    """Words of several codes leave the same bits as codes put down one by one, and decoding holds few numbers for each id."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    ids = np.minimum(rng.zipf(1.2, 300_000), 30_000)
+    found, counts = np.unique(ids, return_counts=True)
+    code = huffman.Code(found, huffman.code_lengths(counts))
+    for n in (1, 2, 3, 4, 5, 1023, 1025, 5000):
+        bits, offsets = code.encode(ids[:n])
+        plain = "".join(f"{int(code.code_of[i]):0{code.len_of[i]}b}" for i in ids[:n])
+        assert "".join(f"{x:08b}" for x in bits) == plain.ljust(-(-len(plain) // 8) * 8, "0")
+        assert (code.decode(bits, offsets, n) == ids[:n]).all()
+    bits, offsets = code.encode(ids)
+    tracemalloc.start()
+    assert (code.decode(bits, offsets, len(ids)) == ids).all()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20 * len(ids)
+
+
 def test_files_give_back_every_document(spark):
     ws, ids = Workspace(spark, "t"), library_ids()
     files, code = huffman.write_token_files(spark, frame(spark), ws)
