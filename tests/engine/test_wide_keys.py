@@ -57,3 +57,9 @@ def test_wants_that_are_left_with_one_id_are_one(spark, shared_ids):
     got = by_spark(spark, "merge_flow_wants", shared_ids)
     assert decided(got) == decided(by_sql("merge_flow_wants", shared_ids, "part", "orders", "lineitem"))
     assert {(r[2], r[3], r[1]) for r in got[1]} <= {(1, 2000102, 1000102), (2, 2000102, 102), (1, 2000105, 1000105), (2, 2000003, 3)} and len(got[1]) == 3
+
+
+def test_watches_that_are_left_with_one_id_are_one(spark, shared_ids):
+    got = by_spark(spark, "merge_flow_watches", shared_ids)
+    assert decided(got) == decided(by_sql("merge_flow_watches", shared_ids, "part", "orders", "lineitem"))
+    assert len(got[1]) == 1
