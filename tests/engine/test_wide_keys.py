@@ -63,3 +63,9 @@ def test_watches_that_are_left_with_one_id_are_one(spark, shared_ids):
     got = by_spark(spark, "merge_flow_watches", shared_ids)
     assert decided(got) == decided(by_sql("merge_flow_watches", shared_ids, "part", "orders", "lineitem"))
     assert len(got[1]) == 1
+
+
+def test_deliveries_follow_the_want_of_their_user(spark, shared_ids):
+    got = by_spark(spark, "merge_flow_deliveries", shared_ids)
+    assert got == by_sql("merge_flow_deliveries", shared_ids, "part", "orders", "lineitem")
+    assert {r[1] for r in got[1]} >= {2000003, 2000105}
